@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import overlap
+from gridloom.llm import leakage, overlap
 from gridloom.sources.tables import table
 
 
@@ -17,5 +18,16 @@ def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     return overlap.overlap_report(overlap.cross_split_pairs(manifest, table(spark, folder, "apps")), manifest)
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    leaks = leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+    return leaks.filter("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+def p5_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Verbatim leaks and paraphrases with the share of common order."""
+    leaks = leakage.leaked_items(table(spark, folder, "documents"), table(spark, folder, "heldout_items"))
+    return leaks.select("doc_id", "item_id", "kind", F.round("lcs_share", 4).alias("lcs_share"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p5_leaks": p5_leaks}
 SQL: dict[str, str] = {}
