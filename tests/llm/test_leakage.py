@@ -81,7 +81,7 @@ def test_found_against_brute_force(spark, monkeypatch):
 
 def test_paraphrase(spark):
     changed = ITEM.replace(" kept the ", " has kept his ").replace("only", "just").replace("button", "knob")
-    documents = spark.createDataFrame([(1, changed), (2, "nothing of it in here at all, but many other words about a label " * 3)], "doc_id long, text string")
+    documents = spark.createDataFrame([(1, changed), *((i, "button and knob are not kept in here at all, only many other words about the label " * 3) for i in range(2, 9))], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM, "en")], "item_id long, item_text string, lang string")
     assert [(r.doc_id, r.kind) for r in leaked_items(documents, items).collect()] == [(1, "paraphrase")]
 
