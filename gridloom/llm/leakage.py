@@ -41,6 +41,7 @@ THRESHOLD = 0.45
 ITEMS_A_BLOCK = 2000
 LETTER_GRAM = 3
 PASSAGES_A_PRODUCT = 1024
+PASSAGES_A_TASK = 8192
 LCS_SHARE = 0.75
 ANSWER_TERMS = 2
 SEED = 7
@@ -235,13 +236,18 @@ class Searcher:
         latent = _times(starts, columns, values, space)
         norms = np.linalg.norm(latent, axis=1, keepdims=True)
         self.latent = latent / np.where(norms > 0, norms, 1)
+        # Sent in half precision, which is finer than the threshold's margin.
+        self.space, self.latent = self.space.astype(np.float16), self.latent.astype(np.float16)
         self.is_letters = np.array([isinstance(block.sequences[o], str) for o in block.owner])
         self.greatest = np.zeros(len(idf), dtype=np.float32)
         for at in range(0, len(idf), 512):
-            self.greatest[at : at + 512] = np.abs(space[at : at + 512] @ self.latent.T).max(axis=1)
+            self.greatest[at : at + 512] = np.abs(self.space[at : at + 512].astype(np.float32) @ self.latent.T.astype(np.float32)).max(axis=1)
 
     def prepare(self) -> None:
-        """The runs of the items; made in the task, as they are large when sent."""
+        """What is made in the task, as it is large when sent: single precision, and the runs of the items."""
+        if self.space.dtype == np.float32:
+            return
+        self.space, self.latent = self.space.astype(np.float32), self.latent.astype(np.float32)
         self.runs = {}
         for item, sequence in self.block.sequences.items():
             size = LETTERS_RUN if isinstance(sequence, str) else WORDS_RUN
@@ -346,7 +352,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, rank: int = RANK, thres
         idf = np.log((1 + total) / (1 + counts)) + 1e-3
         starts, columns, values = _matrix(block.terms, idf)
         table = pd.DataFrame({"columns": [columns[a:b].tolist() for a, b in zip(starts, starts[1:])], "values": [values[a:b].tolist() for a, b in zip(starts, starts[1:])]})
-        passages = spark.createDataFrame(table, "columns array<int>, values array<double>")
+        passages = spark.createDataFrame(table, "columns array<int>, values array<double>").coalesce(-(-len(table) // PASSAGES_A_TASK))
         searcher = Searcher(block, idf, latent_space(passages, len(block.vocabulary), rank), threshold)
         shared = spark.sparkContext.broadcast(searcher)
         found = texts.mapInPandas(lambda batches: shared.value.search(batches), FOUND)
