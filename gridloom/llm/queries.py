@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import leakage, overlap
+from gridloom.llm import leakage, overlap, personal
 from gridloom.sources.tables import table
 
 
@@ -29,5 +29,21 @@ def p5_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.select("doc_id", "item_id", "kind", F.round("lcs_share", 4).alias("lcs_share"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p5_found": p5_found, "p5_leaks": p5_leaks}
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return personal.find_mentions(table(spark, folder, "documents")).select("doc_id", "pii_kind", "pii_text").distinct()
+
+
+def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with placeholders instead of personal information."""
+    return personal.redact(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_report": p1_report,
+    "p5_found": p5_found,
+    "p5_leaks": p5_leaks,
+    "p7_found": p7_found,
+    "p7_redacted": p7_redacted,
+}
 SQL: dict[str, str] = {}
