@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import rejects
+from gridloom.plans import boxes, rejects
 
-MODULES = (rejects,)
+MODULES = (boxes, rejects)
 
 
 def queries() -> dict:
