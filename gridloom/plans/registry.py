@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import boxes, rejects
+from gridloom.plans import boxes, rejects, scalars
 
-MODULES = (boxes, rejects)
+MODULES = (boxes, scalars, rejects)
 
 
 def queries() -> dict:
