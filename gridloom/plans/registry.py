@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import boxes, rejects, scalars
+from gridloom.plans import answers, boxes, rejects, samples, scalars
 
-MODULES = (boxes, scalars, rejects)
+MODULES = (boxes, scalars, answers, samples, rejects)
 
 
 def queries() -> dict:

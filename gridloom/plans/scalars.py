@@ -446,8 +446,8 @@ U3 = "SELECT record_id, max(ingested_at) AS ingested_at, count(*) AS deliveries
 _SQL = {
     "g1_norm_to_abs": G1, "g2_unscale": G2, "g3_norm_to_pixel": G3, "g4_to_norm1000": G4, "g7_iou_crowd": G7, "g11_size_bucket": G11, "g12_gt_count_bucket": G12, "g13_point_in_box": G13, "g15_box_center": G15, "g16_crop_box": G16, "g17_resize": G17,
     "g18_patch_grid": G18, "g19_frame_indices": G19, "g20_pixel_cap": G20, "g21_oks": G21, "a5_keypoint_ap": A5, "m4_best_oks": M4, "g22_coarse_box": G22, "g23_ring_target": G23, "g24_safe_f1": G24, "g25_stable_fraction": G25, "f6_train_val_split": F6,
-    "f5_negative_downsample": F5, "f7_skip_names": F7, "f1_score_threshold": F1, "f10_wrong_rejection": F10, "f4_max_tokens": F4, "p24_kv_log_parse": P24, "a21_log_stats": A21, "a25_throughput": A25, "a22_prep_stats": A22, "a23_run_summary": A23, "a18_positive_mean": A18,
+    "f5_negative_downsample": F5, "f7_skip_names": F7, "f1_score_threshold": F1, "f10_wrong_rejection": F10, "f4_max_tokens": F4, "log_p24_kv_parse": P24, "a21_log_stats": A21, "a25_throughput": A25, "a22_prep_stats": A22, "a23_run_summary": A23, "a18_positive_mean": A18,
     "j1_equi_lookup": J1, "j2_left_join_fallback": J2, "j5_resume_anti_join": J5, "j7_category_intersection": J7, "j8_threshold_grid": J8, "j9_asof_lookup": J9, "j10_range_lookup": J10, "j11_grouped_fetch": J11, "u1_first_writer_wins": U1, "u2_ordered_distinct": U2, "u3_last_wins": U3,
 }
-QUERIES = {name: globals()[name] for name in _SQL}
+QUERIES = {name: globals()[{"log_p24_kv_parse": "p24_kv_log_parse"}.get(name, name)] for name in _SQL}
 SQL = dict(_SQL)
