@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import answers, boxes, rejects, samples, scalars
+from gridloom.plans import answers, boxes, rejects, samples, scalars, tokens
 
-MODULES = (boxes, scalars, answers, samples, rejects)
+MODULES = (boxes, scalars, answers, samples, tokens, rejects)
 
 
 def queries() -> dict:
