@@ -96,8 +96,8 @@ def rank_shard(rows: DataFrame, order: str, world: int) -> DataFrame:
     Row numbers come from a range-partitioned order and per-partition counts, not from one window.
     """
     numbered = global_positions(rows, order)
-    total = numbered.agg(F.count("*").alias("_total"))
-    padded = numbered.crossJoin(F.broadcast(total))
+    total = numbered.groupBy(F.lit(1).alias("_one")).agg(F.count("*").alias("_total"))
+    padded = numbered.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")  # a single row
     missing = F.pmod(-F.col("_total"), F.lit(world))
     again = padded.filter(F.col("position") < missing).withColumn("position", F.col("position") + F.col("_total"))
     return padded.unionByName(again).select(F.pmod("position", F.lit(world)).cast("int").alias("rank"), F.floor(F.col("position") / world).alias("step"), order)

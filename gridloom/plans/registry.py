@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import answers, boxes, rejects, samples, scalars, tokens
+from gridloom.plans import answers, boxes, files, rejects, samples, scalars, tokens
 
-MODULES = (boxes, scalars, answers, samples, tokens, rejects)
+MODULES = (boxes, scalars, answers, samples, tokens, files, rejects)
 
 
 def queries() -> dict:
