@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from gridloom.llm.draws import positions
 from gridloom.operators.layout import cut, spread_small
@@ -171,8 +172,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     have = texts.select(F.explode("members.source").alias("source"), "tokens").groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     reached = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("mixed_tokens"), F.max("uses").alias("most_uses"), F.count("*").alias("documents"))
     report = spark.createDataFrame([(s, x, r) for s, (x, r) in sorted(goals.items())], "source string, target_share double, max_repeats int").join(F.broadcast(have), "source", "left").join(F.broadcast(reached), "source", "left")
-    whole = reached.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    report = report.crossJoin(F.broadcast(whole)).select(
+    report = report.withColumn("all_tokens", F.sum("mixed_tokens").over(W.partitionBy())).select(
         "source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         F.round(F.coalesce(F.col("mixed_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"), F.when(F.col("available_tokens").isNull(), "absent").alias("reason"),
     )
