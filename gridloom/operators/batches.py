@@ -23,8 +23,8 @@ def next_fit(rows: DataFrame, groups: list[str], order: str, length: str, capaci
         batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
         return F.struct(batch.alias("batch"), F.when(fits, s["used"] + e["n"]).otherwise(e["n"]).alias("used"), F.array_append(s["out"], F.struct(e["o"].alias("o"), batch.alias("batch"))).alias("out")).cast(kind)
 
-    lists = rows.filter(F.col(length) <= capacity).groupBy(*groups).agg(F.array_sort(F.collect_list(fields)).alias("s"))
-    return lists.select(*groups, F.explode(F.aggregate("s", start, step)["out"]).alias("r")).select(*groups, F.col("r.o").alias(order), F.col("r.batch").alias("batch"))
+    lists = rows.filter(F.col(length) <= capacity).groupBy(*groups).agg(F.array_sort(F.collect_list(fields)).alias("_stream"))
+    return lists.select(*groups, F.explode(F.aggregate("_stream", start, step)["out"]).alias("_placed")).select(*groups, F.col("_placed.o").alias(order), F.col("_placed.batch").alias("batch"))
 
 
 def buffered_best_fit(lengths: list[int], capacity: int, buffer: int) -> list[int]:

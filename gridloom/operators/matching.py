@@ -46,8 +46,8 @@ def _fold(edges: DataFrame, keys: list[str], priority: list[Column], gt: Column,
         )
         return F.when(busy, state).otherwise(taken).cast(kind)
 
-    lists = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("edges"))
-    return lists.select(*keys, F.explode(F.aggregate("edges", start, step)["out"]).alias("m")).select(*keys, F.col("m.g").alias("gt_ord"), F.col("m.p").alias("pred_ord"))
+    lists = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_edges"))
+    return lists.select(*keys, F.explode(F.aggregate("_edges", start, step)["out"]).alias("_match")).select(*keys, F.col("_match.g").alias("gt_ord"), F.col("_match.p").alias("pred_ord"))
 
 
 def match_greedy(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -80,5 +80,5 @@ def suppress(boxes: DataFrame, keys: list[str], at_least: float) -> DataFrame:
         near = F.exists(kept, lambda k: iou(tuple(k[c] for c in BOX), tuple(e[c] for c in BOX)) > at_least)
         return F.when(near, kept).otherwise(F.array_append(kept, e)).cast(kind)
 
-    lists = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("b"))
-    return lists.select(*keys, F.explode(F.aggregate("b", F.array().cast(kind), step)).alias("k")).select(*keys, F.col("k.ord").alias("ord"))
+    lists = boxes.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("_boxes"))
+    return lists.select(*keys, F.explode(F.aggregate("_boxes", F.array().cast(kind), step)).alias("_kept")).select(*keys, F.col("_kept.ord").alias("ord"))

@@ -10,7 +10,7 @@ Defined results for odd input
 * empty or blank line: rejected (wrong number of columns, or malformed JSON).
 * empty table: both outputs are empty.
 * repeated lines, also with the same id: every input row is judged alone; the result names each id once.
-* extra columns are carried along in the clean rows; input columns that clash with an output column are replaced.
+* extra columns are ignored, also those named like an output column.
 * a very long line is parsed like any other, there is no length limit.
 """
 
@@ -222,7 +222,7 @@ def cell_errors(parsed: DataFrame) -> DataFrame:
 def split_rejects(raw: DataFrame, row: str = "line_id") -> tuple[DataFrame, DataFrame]:
     """(clean records, rejects).
 
-    Clean: the row id, the six typed values and the input's other columns. Rejects: the row id and the reasons.
+    Clean: the row id and the six typed values. Rejects: the row id and the reasons.
     """
     parsed = parse_cells(raw, row)
     errors = cell_errors(parsed)
