@@ -37,7 +37,7 @@ O, B, I = 0, 1, 2
 TRAINING_SENTENCES = 8000
 FEATURES = 1 << 16
 ROUNDS = 6
-REACH = 4
+REACH = 3
 #: a token is part of a name from this marginal probability on
 NAME_SHARE = 0.35
 
@@ -159,7 +159,7 @@ class Extractor:
 
     def __init__(self):
         self.own: dict[tuple[str, str], np.ndarray] = {}
-        self.seen: dict[tuple[str, str], list[str]] = {}
+        self.seen: dict[tuple[str, str, str], np.ndarray] = {}
 
     def form(self, token: Token) -> np.ndarray:
         key = (token.kind, token.text)
@@ -169,22 +169,22 @@ class Extractor:
             self.own[key] = np.array([_hash(n) for n in form_features(token)], dtype=np.int32)
         return self.own[key]
 
-    def names(self, token: Token | None) -> list[str]:
-        if token is None:
-            return ["edge"]
-        key = (token.kind, token.text)
+    def near(self, token: Token | None, place: str) -> np.ndarray:
+        """Ids of what a token is to one that sees it from a place."""
+        key = (place, token.kind, token.text) if token else (place, "", "")
         if key not in self.seen:
-            if len(self.seen) > 200_000:
+            if len(self.seen) > 1_000_000:
                 self.seen.clear()
-            self.seen[key] = context_names(token)
+            self.seen[key] = np.array([_hash(f"{place}:{n}") for n in context_names(token)], dtype=np.int32)
         return self.seen[key]
 
     def features(self, tokens: list[Token], i: int) -> np.ndarray:
-        near = [_hash(f"{at}:{n}") for at in (-2, -1, 1, 2) for n in self.names(tokens[i + at] if 0 <= i + at < len(tokens) else None)]
+        at = lambda d: tokens[i + d] if 0 <= i + d < len(tokens) else None
+        parts = [self.form(tokens[i]), self.near(at(-2), "-2"), self.near(at(-1), "-1"), self.near(at(1), "1"), self.near(at(2), "2")]
         kind = tokens[i].kind
         if kind in ("idno", "number"):
-            near += [_hash(f"{kind}{at}:{n}") for at in (-3, -2, -1, 1) for n in self.names(tokens[i + at] if 0 <= i + at < len(tokens) else None)]
-        return np.concatenate([self.form(tokens[i]), np.array(near, dtype=np.int32)])
+            parts += [self.near(at(d), f"{kind}{d}") for d in (-3, -2, -1, 1)]
+        return np.concatenate(parts)
 
 
 def skip_key(token: Token) -> str | None:
