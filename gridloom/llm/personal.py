@@ -39,7 +39,7 @@ FEATURES = 1 << 16
 ROUNDS = 6
 REACH = 3
 #: a token is part of a name from this marginal probability on
-NAME_SHARE = 0.35
+NAME_SHARE = 0.2
 
 # Given names, titles, particles.
 GIVEN = set(
@@ -61,15 +61,15 @@ _NAME = r"[^\W\d_]+"
 _NO_WORD = r"(?!(?:the|of|a|an|bis|ter|is|and|row|view|map)\b)"
 EMAIL = rf"(?<![\w.+@-])[a-z0-9À-ɏ][\w.+-]*{_AT}[a-z0-9À-ɏ][\w-]*(?:{_DOT}[a-z0-9À-ɏ][\w-]*)*{_DOT}[a-zÀ-ɏ]{{2,}}(?![\w-])"
 STREETS = (
-    rf"(?<![\w/.-])\d{{1,4}}(?:[  ]?(?:bis|ter|quater)\b|[a-z])?(?:[  ]?[-–/][  ]?\d{{1,4}})?,?\s(?:rue|avenue|av\.|boulevard|bd|place|impasse|allée|chemin|quai|route|cours|passage)\s(?:(?:de\sla|du|des|de|la|le)\s|d[’']\s?|de\sl[’'])?{_NO_WORD}{_NAME}(?:-{_NAME})*",
-    rf"(?<![\w/.-])\d{{1,4}}(?:[  ]?[a-z](?![^\W_])|[  ]?[-–/][  ]?\d{{1,4}}[a-z]?)?\s{_NO_WORD}(?:(?:old|new|upper|lower|north|south|east|west|great|little)\s)?{_NO_WORD}{_NAME}\s(?:st\.|(?:street|road|avenue|lane|close|court|drive|way|place|square|terrace|crescent|rd|ave|ln|ct|dr|blvd)\b)",
+    rf"(?<![\w/.-])\d{{1,4}}(?:[  ]?(?:bis|ter|quater)\b|[a-z])?(?:[  ]?[-–/][  ]?\d{{1,4}})?,?[  ](?:rue|avenue|av\.|boulevard|bd|place|impasse|allée|chemin|quai|route|cours|passage)[  ](?:(?:de\sla|du|des|de|la|le)\s|d[’']\s?|de\sl[’'])?{_NO_WORD}{_NAME}(?:-{_NAME})*",
+    rf"(?<![\w/.-])\d{{1,4}}(?:[  ]?[a-z](?![^\W_])|[  ]?[-–/][  ]?\d{{1,4}}[a-z]?)?[  ]{_NO_WORD}(?:(?:old|new|upper|lower|north|south|east|west|great|little)[  ])?{_NO_WORD}{_NAME}[  ](?:st\.|(?:street|road|avenue|lane|close|court|drive|way|place|square|terrace|crescent|rd|ave|ln|ct|dr|blvd)\b)",
     rf"(?<![^\W_])(?:(?:am|im|zum|zur|an\sder|auf\sder)\s(?={_NAME}(?:platz|anger|markt|ufer|ring|damm)\b))?(?:{_NAME}(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm|anger|markt)|{_NAME}(?:er|en)?\s(?:weg|straße|strasse|str\.|platz|allee|gasse|ring|ufer|damm))\s\d{{1,4}}(?:[  ]?[-–/][  ]?\d{{1,4}})?(?:[  ]?[a-z](?![^\W_]))?(?![^\W_])",
     rf"(?<![^\W_])(?:c/|calle\b|avda\.|av\.|avenida\b|plaza\b|pza\.|paseo\b|ronda\b|camino\b|carrera\b|travesía\b)\s?(?:(?:de\slas?|de\slos|del|de|la|el)\s)?{_NAME},?\s(?:n\.?\s?[ºo°]\.?\s?|núm\.\s?)?\d{{1,4}}(?:[  ]?(?:bis\b|[a-z](?![^\W_])))?(?![^\W_])",
     r"(?:(?<=寄到)|(?<=地址)|(?<=住在)|(?<=送到)|(?<![一-鿿]))[一-鿿]{1,6}?(?:大街|大道|胡同|路|街|巷|弄)\s?\d{1,4}(?:[-–]\d{1,4})?\s?号(?:之\d+|[甲乙丙丁])?",
 )
 IDNO = r"(?<![\w.+-])(?:\d{3}([- ])\d{2}\1\d{4}|\d{2} \d{3} \d{3} \d{3}|[12] ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}|[xyz]?-?\d{7,8}-?[a-z]|\d{17}[\dx]|[a-z]{2} ?\d{2} ?\d{2} ?\d{2} ?[a-d])(?![\w]|[.,-]\d)"
 PHONE = r"(?<![\w.+/-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[\d]|[ ./-](?=\d)|[ ]?\((?=\d)|\)[ ]?(?=\d)){5,20}\d(?![\w]|[.,:-]\d)"
-FEWEST_DIGITS = 7
+FEWEST_DIGITS = 8
 STRUCTURED = re.compile("|".join([f"(?P<email>{EMAIL})", *(f"(?P<street{i}>{s})" for i, s in enumerate(STREETS)), "(?P<idno>" + IDNO.replace(r"\1", r"(?P=sep)").replace("([- ])", "(?P<sep>[- ])") + ")", f"(?P<number>{PHONE})", r"(?P<word>[^\W\d_]+(?:['’](?=[^\W\d_]{3}))?)", r"(?P<digits>\d+)", r"(?P<sign>[^\w\s]|_|\n\s*)"]), re.I)
 TITLE_CASE = re.compile(r"[^\W\d_]+")
 
@@ -398,7 +398,7 @@ _PART = r"[^\W\d_]+(?:['’][^\W\d_]+)?"
 _PARTICLE = "(?:(?:" + "|".join(sorted(PARTICLES)) + r")\s)*"
 _FAMILY = rf"{_PARTICLE}(?:{_PART})(?:-{_PART})*"
 PERSON_FORMS = (
-    re.compile(rf"(?P<f>{_FAMILY}),\s(?P<g>[^\W\d_]{{2,}}|[^\W\d_]\.?)(?:\s[^\W\d_]\.)?", re.I),
+    re.compile(rf"(?P<f>{_FAMILY}),\s(?P<g>[^\W\d_]{{2,}}|[^\W\d_]\.)(?:\s[^\W\d_]\.)?", re.I),
     re.compile(rf"(?P<g>{_GIVEN_OR_INITIAL})(?:\s[^\W\d_]\.)*\s(?P<f>{_FAMILY})", re.I),
 )
 
@@ -411,7 +411,7 @@ def checked_person(text: str, sure: bool = True) -> tuple[int, int] | None:
     at = 0
     while m := re.match(rf"(?:{'|'.join(sorted(TITLES))})\b\.?\s+(?=\S)", text[at:], re.I):
         rest = text[at + m.end() :]
-        if m[0].strip().lower() == "m." and not re.match(r"[^\W\d_]+[\s.,-]+[^\W\d_]", rest):
+        if m[0].strip().lower() == "m." and "," not in rest and not re.match(r"[^\W\d_]\.", rest) and re.match(r"[^\W\d_]+", rest)[0].lower() not in GIVEN:
             break  # an initial, not a title
         at += m.end()
     for form in PERSON_FORMS:
@@ -420,7 +420,7 @@ def checked_person(text: str, sure: bool = True) -> tuple[int, int] | None:
             given, family = m["g"].rstrip(".").lower(), m["f"]
             if len(family.split("-")[-1]) < 3 or family.lower() in GIVEN and given not in GIVEN:
                 continue
-            if len(given) > 1 and given not in GIVEN and (form is PERSON_FORMS[0] or not sure or not (m["g"][0].isupper() and family.split()[-1][0].isupper())):
+            if len(given) > 1 and given not in GIVEN and (form is PERSON_FORMS[0] or not sure or not (m["g"].istitle() and family.split()[-1][0].isupper())):
                 continue
             return m.start(), m.end()
     return None
@@ -496,6 +496,8 @@ class Finder:
         for i, label, doubt in [*zip(active, labels, doubtful), (-1, O, False)]:
             if run and not (label == I and i == run[1] + 1):
                 start, end = tokens[run[0]].start, tokens[run[1]].end
+                if len(tokens[run[1]].low) == 1 and text[end : end + 1] == ".":
+                    end += 1  # the point of an initial
                 inside = checked_person(text[start:end], not doubts)
                 if inside:
                     found.append((start + inside[0], start + inside[1], "person"))
