@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def spread_small(df: DataFrame) -> DataFrame:
@@ -26,3 +27,16 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-"))
     return df.checkpoint()
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The table marked for a broadcast if it has at most so many rows, which is looked up; else as it is, to be shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def bounded(df: DataFrame, most: int, what: str) -> list:
+    """The rows of a small table; more rows than its bound are an error, not cut off."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} {what}")
+    return rows

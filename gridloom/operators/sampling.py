@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.functions.geometry import stable_fraction
-from gridloom.operators.layout import cut
+from gridloom.operators.layout import cut, small
 
 EPOCH_STEP = 999_983
 
@@ -37,12 +37,12 @@ def dataset_weights(counts: DataFrame, ratio: Column) -> DataFrame:
 def weighted_draw(weights: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
     """The dataset of each draw number, by its place among the running weights, and the how-manieth of that dataset it is.
 
-    weights is one row per dataset and broadcast; it holds name and weight.
+    weights is one row per dataset; it holds name and weight.
     """
     order = W.orderBy("name").rowsBetween(W.unboundedPreceding, 0)
     ends = weights.withColumn("high", F.sum("weight").over(order)).withColumn("low", F.col("high") - F.col("weight"))
     placed = draws.withColumn("u", stable_fraction(_key("draw"), F.lit(seed)))
-    hit = placed.join(F.broadcast(ends.limit(100_000)), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
+    hit = placed.join(small(ends), (F.col("u") >= F.col("low")) & (F.col("u") < F.col("high")))
     return hit.select("draw", "name", (F.row_number().over(W.partitionBy("name").orderBy("draw")) - 1).alias("nth"))
 
 

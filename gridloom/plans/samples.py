@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from gridloom.operators import batches as K
 from gridloom.operators import sampling as S
+from gridloom.operators.layout import small
 from gridloom.plans.scalars import FRACTION
 from gridloom.sources.tables import table
 
@@ -39,7 +40,7 @@ C2 = f"WITH {DOCS}, r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER
 
 def recipe_counts(spark, folder):
     a = table(spark, folder, "annotations").filter("dataset is not null").groupBy("dataset").agg(F.count_distinct("record_id").alias("n"))
-    return a.join(F.broadcast(table(spark, folder, "recipe").select("dataset", "repeat_time")), "dataset")
+    return a.join(small(table(spark, folder, "recipe").select("dataset", "repeat_time")), "dataset")
 
 
 def c3_dataset_weights(spark, folder):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.functions import geometry as G
+from gridloom.operators.layout import small
 from gridloom.plans.boxes import BOXES, gt_boxes
 from gridloom.sources.tables import table
 
@@ -397,7 +398,7 @@ def j10_range_lookup(spark, folder):
     sizes = table(spark, folder, "annotations").filter("dataset is not null").groupBy("dataset").agg(F.count("*").alias("n"))
     ends = sizes.withColumn("end", F.sum("n").over(W.orderBy("dataset").rowsBetween(W.unboundedPreceding, 0)))  # one row per dataset
     wanted = table(spark, folder, "images").selectExpr("image_id as row").filter("row % 3 = 0")
-    hit = wanted.join(F.broadcast(ends.limit(100_000)), (F.col("row") >= F.col("end") - F.col("n")) & (F.col("row") < F.col("end")))
+    hit = wanted.join(small(ends), (F.col("row") >= F.col("end") - F.col("n")) & (F.col("row") < F.col("end")))
     return hit.select("row", "dataset", (F.col("row") - (F.col("end") - F.col("n"))).alias("local_row"))
 
 

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.layout import bounded, small
+
 TURNS = "array<struct<`from`:string,value:string>>"
 SAMPLE = f"conversations {TURNS}, image string, image_list array<string>, defect_type string"
 
@@ -111,7 +113,7 @@ def parse_det_tsv(rows: DataFrame, categories: DataFrame, column: str = "value",
     boxes = rows.select(parts[0].cast("bigint").alias("image_id"), F.posexplode(items).alias("ord", "d"))
     kept = boxes.filter(F.col("d.conf") > at_least if strict else F.col("d.conf") >= at_least)
     names = categories.select(F.col("name").alias("_name"), F.col("id").cast("int").alias("_id"))
-    return kept.join(F.broadcast(names.limit(100_000)), F.col("d.class") == F.col("_name"), "left").select("image_id", "ord", F.coalesce("_id", F.lit(0)).alias("category_id"), F.col("d.rect").alias("bbox"), F.col("d.conf").alias("score"))
+    return kept.join(small(names), F.col("d.class") == F.col("_name"), "left").select("image_id", "ord", F.coalesce("_id", F.lit(0)).alias("category_id"), F.col("d.rect").alias("bbox"), F.col("d.conf").alias("score"))
 
 
 def det_tsv_lines(boxes: DataFrame) -> DataFrame:
@@ -221,5 +223,5 @@ def write_document(document: dict, path: str) -> None:
 
 def write_recipe(recipe: DataFrame, path: str) -> None:
     """A recipe file from its table, which is a small dimension."""
-    rows = recipe.orderBy("dataset").limit(100_000).collect()
+    rows = bounded(recipe.orderBy("dataset"), 100_000, "data sets")
     write_document({r.dataset: {k: v for k, v in r.asDict().items() if k != "dataset" and v is not None} for r in rows}, path)
