@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.llm.draws import positions
-from gridloom.operators.layout import cut, spread_small
+from gridloom.operators.layout import bounded, cut, spread_small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SEED = 31
@@ -142,17 +142,15 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     spark = documents.sparkSession
     wanted = targets.select(F.lower(F.trim(F.col("source").cast("string"))).alias("source"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("int").alias("repeats")).filter("source is not null")
     wanted = wanted.groupBy("source").agg(F.sum(F.when(F.col("share") > 0, F.col("share")).otherwise(0.0)).alias("share"), F.max(F.coalesce("repeats", F.lit(0))).alias("repeats"))
-    goals = {r.source: (r.share, r.repeats) for r in wanted.limit(MOST_PATTERNS).collect()}
+    goals = {r.source: (r.share, r.repeats) for r in bounded(wanted, MOST_PATTERNS, "sources")}
     rows = with_tokens(documents, tokenizer)
     per_source = rows.groupBy("text_key", "source").agg(F.min(F.struct("doc_id", "tokens")).alias("d"))
     names = [s for s, (share, repeats) in goals.items() if share > 0 and repeats >= 1]
     # copies of a text come down to one row per source before they meet, and sources with a target are few
     texts = per_source.filter(F.col("source").isin(names)).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("source", F.col("d.doc_id").alias("doc_id")))).alias("members"), F.max("d.tokens").alias("tokens"))
     texts = cut(texts.withColumn("pattern", F.array_join(F.col("members.source"), "\u001f")))
-    found = texts.filter("tokens > 0").groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} sets of sources")
-    patterns = sorted((tuple(r.pattern.split("\u001f")), int(r.tokens)) for r in found)
+    found = texts.filter("tokens > 0").groupBy("pattern").agg(F.sum("tokens").alias("tokens"))
+    patterns = sorted((tuple(r.pattern.split("\u001f")), int(r.tokens)) for r in bounded(found, MOST_PATTERNS, "sets of sources"))
     present = {s for sources, _ in patterns for s in sources}
     shares, repeats = {s: goals[s][0] for s in names if s in present}, {s: goals[s][1] for s in names}
     total = largest_total(patterns, shares, repeats) if total_tokens is None else total_tokens

@@ -27,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators.layout import bounded
+
 HASH_LETTERS = 64
 SHORTEST = 16
 #: sha256 of empty input
@@ -97,9 +99,7 @@ def _split_of(column: Column) -> Column:
 
 def sample_texts(manifest: DataFrame, apps: DataFrame) -> DataFrame:
     """(sample_id, split, text): the normalised texts of the samples, each once."""
-    keys = [r[0] for r in apps.select("app_key").filter("app_key is not null").distinct().limit(MAX_APPS + 1).collect()]
-    if len(keys) > MAX_APPS:
-        raise ValueError(f"more than {MAX_APPS} apps")
+    keys = [r[0] for r in bounded(apps.select("app_key").filter("app_key is not null").distinct(), MAX_APPS, "apps")]
     folded = {fold(k): fold(k) for k in keys if fold(k)}
     longest = max(map(len, folded), default=0)
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.draws import positions
-from gridloom.operators.layout import cut
+from gridloom.operators.layout import bounded, cut
 
 SAMPLE_PART = 10
 SEED = 20
@@ -115,7 +115,7 @@ def category_counts(samples: DataFrame) -> DataFrame:
 def allotment(samples: DataFrame, targets: DataFrame) -> DataFrame:
     """One row per target: what is there, what the shares want, the quota and why it differs."""
     wanted = targets.select(spelled("task").alias("task"), spelled("expected_label").alias("expected_label"), F.struct("task", "expected_label").alias("written"), F.greatest(F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("target_share"), F.greatest(F.coalesce(F.col("min_rows").cast("long"), F.lit(0)), F.lit(0)).alias("min_rows"))
-    wanted = wanted.filter("task is not null and expected_label is not null").groupBy("task", "expected_label").agg(F.sum("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"), F.min("written").alias("written")).limit(MOST_TARGETS)
+    wanted = wanted.filter("task is not null and expected_label is not null").groupBy("task", "expected_label").agg(F.sum("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"), F.min("written").alias("written"))
     wanted = wanted.select("*", F.col("written.task").cast("string").alias("target_task"), F.col("written.expected_label").cast("string").alias("target_label")).drop("written")
     counts = category_counts(samples)
     total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("samples")).withColumn("_one", F.lit(1))
@@ -126,6 +126,7 @@ def allotment(samples: DataFrame, targets: DataFrame) -> DataFrame:
 
 def proportional_sample(manifest: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sample, report): the sample's ids with their categories, and a row for each target."""
+    bounded(targets.select("task"), MOST_TARGETS, "targets")
     samples = cut(latest_samples(manifest))
     plan = allotment(samples, targets)
     chosen = samples.join(F.broadcast(plan.filter("quota > 0").select("task", "expected_label", "target_task", "target_label", "quota")), ["task", "expected_label"])
