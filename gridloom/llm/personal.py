@@ -71,7 +71,6 @@ IDNO = r"(?<![\w.+-])(?:\d{3}([- ])\d{2}\1\d{4}|\d{2} \d{3} \d{3} \d{3}|[12] ?\d
 PHONE = r"(?<![\w.+/-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[\d]|[ ./-](?=\d)|[ ]?\((?=\d)|\)[ ]?(?=\d)){5,20}\d(?![\w]|[.,:-]\d)"
 FEWEST_DIGITS = 8
 STRUCTURED = re.compile("|".join([f"(?P<email>{EMAIL})", *(f"(?P<street{i}>{s})" for i, s in enumerate(STREETS)), "(?P<idno>" + IDNO.replace(r"\1", r"(?P=sep)").replace("([- ])", "(?P<sep>[- ])") + ")", f"(?P<number>{PHONE})", r"(?P<word>[^\W\d_]+(?:['’](?=[^\W\d_]{3}))?)", r"(?P<digits>\d+)", r"(?P<sign>[^\w\s]|_|\n\s*)"]), re.I)
-TITLE_CASE = re.compile(r"[^\W\d_]+")
 
 
 class Token:
