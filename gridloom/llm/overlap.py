@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.layout import bounded
+from gridloom.operators.layout import bounded, cut
 
 HASH_LETTERS = 64
 SHORTEST = 16
@@ -185,7 +185,7 @@ def text_links(texts: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def cross_split_pairs(manifest: DataFrame, apps: DataFrame, shards: int = SHARDS, salts: int = SALTS) -> DataFrame:
     """(eval_id, eval_split, train_id, kind, coverage): every evaluation sample with a train sample it repeats."""
-    texts = sample_texts(manifest, apps)
+    texts = cut(sample_texts(manifest, apps))  # normalised once, read three times
     links = text_links(texts, shards)
     members = texts.withColumn("salt", F.pmod(F.xxhash64("sample_id"), F.lit(salts)).cast("int"))
     spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
