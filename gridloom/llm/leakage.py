@@ -7,6 +7,8 @@
 3. Documents are cut into passages twice as long, so that a shortest leak lies whole in one of them, folded into the
    space and compared with all item passages in blocks of matrix products. A bound on the cosine, exact for
    each passage, spares passages that cannot reach the threshold.
+   What it brings is not complete for verbatim leaks, as the words around a run may outweigh it. So each run of the
+   required length is also looked up among the runs of all items, and its passage is a candidate whatever its cosine.
 4. Candidates are checked: a run of consecutive words (or, for Chinese, letters) of the required length is a verbatim leak, else
    a long common subsequence that also holds the rarest terms of the item passage (its answer) is a paraphrase.
 
@@ -252,25 +254,49 @@ class Searcher:
         for item, sequence in self.block.sequences.items():
             size = LETTERS_RUN if isinstance(sequence, str) else WORDS_RUN
             self.runs[item] = {sequence[i : i + size] if isinstance(sequence, str) else tuple(sequence[i : i + size]) for i in range(len(sequence) - size + 1)}
+        self.items_of: dict[object, list[int]] = {}
+        for item, runs in self.runs.items():
+            for run in runs:
+                self.items_of.setdefault(run, []).append(item)
+        self.passages_of: dict[int, list[int]] = {}
+        for index, item in enumerate(self.block.owner):
+            self.passages_of.setdefault(item, []).append(index)
         order = [np.unique(t) for t in self.block.terms]
         names = list(self.block.vocabulary)
         self.answers = [{names[i] for i in ids[np.argsort(-self.idf[ids], kind="stable")[:ANSWER_TERMS]]} for ids in order]
 
-    def passages(self, words: list[str], letters: str) -> Iterator[tuple[bool, object, list[str]]]:
-        """(of letters, the passage, its terms)"""
+    def held(self, sequence: list[str] | str) -> dict[int, set[int]]:
+        """Items of which a run stands in a document, by the number of a passage that holds the run whole."""
+        out: dict[int, set[int]] = {}
+        if isinstance(sequence, str):
+            for start in range(len(sequence) - LETTERS_RUN + 1):
+                if items := self.items_of.get(sequence[start : start + LETTERS_RUN]):
+                    out.setdefault(start // LETTERS_RUN, set()).update(items)
+            return out
+        vocabulary, known = self.block.vocabulary, 0
+        for end, word in enumerate(sequence, 1):
+            known = known + 1 if word in vocabulary else 0
+            if known >= WORDS_RUN and (items := self.items_of.get(tuple(sequence[end - WORDS_RUN : end]))):
+                out.setdefault((end - WORDS_RUN) // WORDS_RUN, set()).update(items)
+        return out
+
+    def passages(self, words: list[str], letters: str) -> Iterator[tuple[bool, object, list[str], set[int]]]:
+        """(of letters, the passage, its terms, items of which it holds a run)"""
         if self.block.any_words:
+            held = self.held(words)
             for start in range(0, len(words) - WORDS_RUN + 1, WORDS_RUN):
                 part = words[start : start + 2 * WORDS_RUN]
-                yield False, part, part
+                yield False, part, part, held.get(start // WORDS_RUN, set())
+        held = self.held(letters)
         for start in range(0, len(letters) - LETTERS_RUN + 1, LETTERS_RUN):
             part = letters[start : start + 2 * LETTERS_RUN]
-            yield True, part, grams_of(part)
+            yield True, part, grams_of(part), held.get(start // LETTERS_RUN, set())
 
-    def candidates(self, chunk: list[tuple[int, bool, object, list[int]]]) -> Iterator[tuple[int, object, int, list[int], float]]:
-        """(document, passage, item, its passages at or over the threshold, greatest cosine)"""
+    def candidates(self, chunk: list[tuple[int, bool, object, list[int], set[int]]]) -> Iterator[tuple[int, object, int, list[int], float]]:
+        """(document, passage, item, its passages at or over the threshold or all if a run of it is held, greatest cosine)"""
         starts, columns, values = _matrix([np.array(c[3], dtype=np.int32) for c in chunk], self.idf)
         bound = np.add.reduceat(np.append(values * self.greatest[columns], 0.0), starts[:-1])
-        keep = np.flatnonzero(bound >= self.threshold - 1e-4)
+        keep = np.flatnonzero((bound >= self.threshold - 1e-4) | np.array([bool(c[4]) for c in chunk]))
         for at in range(0, len(keep), PASSAGES_A_PRODUCT):
             rows = keep[at : at + PASSAGES_A_PRODUCT]
             sizes = starts[rows + 1] - starts[rows]
@@ -280,6 +306,9 @@ class Searcher:
             of_letters = np.array([chunk[r][1] for r in rows])
             cosines[of_letters[:, None] != self.is_letters[None, :]] = -1
             hits = cosines >= self.threshold
+            for i, r in enumerate(rows):
+                for item in chunk[r][4]:
+                    hits[i, self.passages_of[item]] = True
             for i in np.flatnonzero(hits.any(axis=1)):
                 at_items: dict[int, list[int]] = {}
                 for j in np.flatnonzero(hits[i]).tolist():
@@ -310,7 +339,7 @@ class Searcher:
         self.prepare()
         vocabulary = self.block.vocabulary
         for batch in batches:
-            chunk: list[tuple[int, bool, object, list[int]]] = []
+            chunk: list[tuple[int, bool, object, list[int], set[int]]] = []
             found: dict[tuple[int, int], list] = {}
 
             def flush() -> None:
@@ -323,10 +352,10 @@ class Searcher:
                 chunk.clear()
 
             for document, text in zip(batch["doc_id"], batch["text"]):
-                for of_letters, passage, terms in self.passages(*self.block.document_terms(text)):
+                for of_letters, passage, terms, held in self.passages(*self.block.document_terms(text)):
                     ids = [vocabulary[t] for t in terms if t in vocabulary]
                     if ids:
-                        chunk.append((document, of_letters, passage, ids))
+                        chunk.append((document, of_letters, passage, ids, held))
                     if len(chunk) >= 8 * PASSAGES_A_PRODUCT:
                         flush()
             flush()

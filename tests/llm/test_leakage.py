@@ -79,6 +79,23 @@ def test_found_against_brute_force(spark, monkeypatch):
         assert len(leaks) == len({(r.doc_id, r.item_id) for r in leaks})
 
 
+def test_runs_at_every_offset_beside_words_that_outweigh_them(spark):
+    words, other = words_of(ITEM), [f"rare{i}" for i in range(30)]
+    items = [(1, ITEM, "en"), (2, " ".join(other), "en"), (3, CHINESE, "zh")]
+    docs = []
+    for offset in range(2 * WORDS_RUN + 1):
+        run = words[offset % (len(words) - WORDS_RUN + 1) :][:WORDS_RUN]
+        for around in (["rare7"] * 24, other[:11] + ["also"] + other[12:22] + ["also"]):
+            docs.append((len(docs), " ".join([*around[:offset], *run, *around])))
+    for offset in range(0, 2 * LETTERS_RUN + 1, 3):
+        docs.append((len(docs), "模型给" * 30 + "云" * (offset % 3) + CHINESE[offset % 20 :][:LETTERS_RUN] + "模型给" * 30))
+    documents = spark.createDataFrame(docs, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, item_text string, lang string")
+    expected = brute(docs, items)
+    assert {d for d, _ in expected} == {d for d, _ in docs}
+    assert {(r.doc_id, r.item_id) for r in leaked_items(documents, table).collect() if r.kind == "verbatim"} == expected
+
+
 def test_paraphrase(spark):
     changed = ITEM.replace(" kept the ", " has kept his ").replace("only", "just").replace("button", "knob")
     documents = spark.createDataFrame([(1, changed), *((i, "button and knob are not kept in here at all, only many other words about the label " * 3) for i in range(2, 9))], "doc_id long, text string")
