@@ -7,6 +7,7 @@ import heapq
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def next_fit(rows: DataFrame, groups: list[str], order: str, length: str, capacity: int) -> DataFrame:
@@ -27,6 +28,17 @@ def next_fit(rows: DataFrame, groups: list[str], order: str, length: str, capaci
     return lists.select(*groups, F.explode(F.aggregate("_stream", start, step)["out"]).alias("_placed")).select(*groups, F.col("_placed.o").alias(order), F.col("_placed.batch").alias("batch"))
 
 
+def pack_pad(batches: DataFrame, groups: list[str], order: str, length: str, limit: int) -> DataFrame:
+    """(groups, samples, dropped, padding): each batch laid end to end and padded to the limit.
+
+    The last samples of an overfull batch are dropped until it fits; a sample that is left alone is cut to the limit.
+    """
+    upto = W.partitionBy(*groups).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    rows = batches.withColumn("_end", F.sum(length).over(upto)).withColumn("_kept", (F.col("_end") <= limit) | (F.row_number().over(W.partitionBy(*groups).orderBy(order)) == 1))
+    kept = F.count_if("_kept")
+    return rows.groupBy(*groups).agg(kept.alias("samples"), (F.count("*") - kept).alias("dropped"), F.greatest(F.lit(0).cast("long"), limit - F.max(F.when(F.col("_kept"), F.col("_end")))).alias("padding"))
+
+
 def buffered_best_fit(lengths: list[int], capacity: int, buffer: int) -> list[int]:
     """Batch of each sample when up to ``buffer`` waiting samples are kept and the one that fits best is taken next."""
     out, waiting, used, batch, at = [-1] * len(lengths), [], 0, 0, 0
