@@ -393,15 +393,23 @@ def j9_asof_lookup(spark, folder):
 J9 = """SELECT c.event_id, max_by(p.event_id, (p.ts, p.event_id)) AS purchase FROM events c LEFT JOIN events p ON p.user_id = c.user_id AND p.event_type = 'purchase' AND p.ts < c.ts WHERE c.event_type = 'click' GROUP BY c.event_id"""
 
 
-def j10_range_lookup(spark, folder):
+def _range_lookup(spark, folder, wanted):
     """The dataset and local row of global row numbers, by ranges of the running sizes."""
     sizes = table(spark, folder, "annotations").filter("dataset is not null").groupBy("dataset").agg(F.count("*").alias("n"))
     ends = sizes.withColumn("end", F.sum("n").over(W.orderBy("dataset").rowsBetween(W.unboundedPreceding, 0)))  # one row per dataset
-    wanted = table(spark, folder, "images").selectExpr("image_id as row").filter("row % 3 = 0")
     hit = wanted.join(small(ends), (F.col("row") >= F.col("end") - F.col("n")) & (F.col("row") < F.col("end")))
     return hit.select("row", "dataset", (F.col("row") - (F.col("end") - F.col("n"))).alias("local_row"))
 
 
+def j10_range_lookup(spark, folder):
+    """Every third row number, as its SQL twin has it; all of them: j10_range_lookup_all."""
+    return _range_lookup(spark, folder, table(spark, folder, "images").selectExpr("image_id as row").filter("row % 3 = 0"))
+
+
+def j10_range_lookup_all(spark, folder):
+    return _range_lookup(spark, folder, table(spark, folder, "images").selectExpr("image_id as row"))
+
+
 J10 = """WITH s AS (SELECT dataset, count(*) AS n FROM annotations WHERE dataset IS NOT NULL GROUP BY dataset), e AS (SELECT *, sum(n) OVER (ORDER BY dataset) AS hi FROM s)
 SELECT image_id AS row, dataset, (image_id - (hi - n))::BIGINT AS local_row FROM images JOIN e ON image_id >= hi - n AND image_id < hi WHERE image_id % 3 = 0"""
 
@@ -450,5 +458,5 @@ _SQL = {
     "f5_negative_downsample": F5, "f7_skip_names": F7, "f1_score_threshold": F1, "f10_wrong_rejection": F10, "f4_max_tokens": F4, "log_p24_kv_parse": P24, "a21_log_stats": A21, "a25_throughput": A25, "a22_prep_stats": A22, "a23_run_summary": A23, "a18_positive_mean": A18,
     "j1_equi_lookup": J1, "j2_left_join_fallback": J2, "j5_resume_anti_join": J5, "j7_category_intersection": J7, "j8_threshold_grid": J8, "j9_asof_lookup": J9, "j10_range_lookup": J10, "j11_grouped_fetch": J11, "u1_first_writer_wins": U1, "u2_ordered_distinct": U2, "u3_last_wins": U3,
 }
-QUERIES = {name: globals()[{"log_p24_kv_parse": "p24_kv_log_parse"}.get(name, name)] for name in _SQL}
+QUERIES = {name: globals()[{"log_p24_kv_parse": "p24_kv_log_parse"}.get(name, name)] for name in _SQL} | {"j10_range_lookup_all": j10_range_lookup_all}
 SQL = dict(_SQL)
