@@ -1,6 +1,7 @@
 """A mixture of sources with target shares of all tokens.
 
-Documents with the same text are one text, whose sources are those of its copies. Texts are aggregated by the set of
+Documents of different sources with the same text are one text, whose sources are those of its copies; the second, third
+and further copies within a source are texts of their own, so that every document can be used. Texts are aggregated by the set of
 their sources (the membership pattern); a min-cost flow routes the tokens of the patterns to the quotas of the sources,
 where each further repetition of a text costs more than the one before (convex costs), so that repetition is spread and
 as low as the quotas allow. The total is the largest that the capped repetitions can serve in the target shares, unless
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.llm.draws import positions
+from gridloom.llm.packing import ranked
 from gridloom.operators.layout import bounded, cut, spread_small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -144,10 +146,12 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     wanted = wanted.groupBy("source").agg(F.sum(F.when(F.col("share") > 0, F.col("share")).otherwise(0.0)).alias("share"), F.max(F.coalesce("repeats", F.lit(0))).alias("repeats"))
     goals = {r.source: (r.share, r.repeats) for r in bounded(wanted, MOST_PATTERNS, "sources")}
     rows = with_tokens(documents, tokenizer)
-    per_source = rows.groupBy("text_key", "source").agg(F.min(F.struct("doc_id", "tokens")).alias("d"))
     names = [s for s, (share, repeats) in goals.items() if share > 0 and repeats >= 1]
-    # copies of a text come down to one row per source before they meet, and sources with a target are few
-    texts = per_source.filter(F.col("source").isin(names)).groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("source", F.col("d.doc_id").alias("doc_id")))).alias("members"), F.max("d.tokens").alias("tokens"))
+    # the copies of a text are numbered within their source, so one of each source meets, and sources with a target are few
+    copies = cut(rows.filter(F.col("source").isin(names)).groupBy("text_key", "source", "doc_id").agg(F.max("tokens").alias("tokens")))
+    copies = ranked(copies, ["text_key", "source"], "doc_id")
+    copies = copies.withColumn("text_key", F.when(F.col("rank") == 0, F.col("text_key")).otherwise(F.concat_ws("-", "text_key", "rank")))
+    texts = copies.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("source", "doc_id"))).alias("members"), F.max("tokens").alias("tokens"))
     texts = cut(texts.withColumn("pattern", F.array_join(F.col("members.source"), "\u001f")))
     found = texts.filter("tokens > 0").groupBy("pattern").agg(F.sum("tokens").alias("tokens"))
     patterns = sorted((tuple(r.pattern.split("\u001f")), int(r.tokens)) for r in bounded(found, MOST_PATTERNS, "sets of sources"))

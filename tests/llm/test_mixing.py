@@ -59,6 +59,17 @@ def test_mixture(spark):
     assert mixture(documents, targets.filter("false"))[0].count() == 0
 
 
+def test_copies_within_a_source_are_all_used(spark):
+    rows = [(i, "a", "the same words in every document", 1) for i in range(30)] + [(100 + i, "b", f"words of number {i}", 1) for i in range(400)]
+    rows += [(5, "a", "the same words in every document", 1), (600, "b", "the same words in every document", 1)]
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    mixed, report = mixture(spark.createDataFrame(rows, SCHEMA), targets)
+    got = {r.doc_id: r for r in mixed.collect() if r.source == "a"}
+    assert set(got) == set(range(30)) and all(r.uses <= 2 for r in got.values()) and sum(r.uses for r in got.values()) >= 59
+    why = {r.source: r for r in report.collect()}
+    assert why["a"].available_tokens == 30 * got[0].tokens and why["a"].documents == 30
+
+
 def test_given_total(spark):
     rows = [(i, s, f"some words {i}", 1) for i, s in enumerate(s for _, s in product(range(100), "ab"))]
     targets = spark.createDataFrame([("a", 0.75, 2), ("b", 0.25, 1)], "source string, target_share double, max_repeats int")
