@@ -9,7 +9,8 @@ Defined results for odd input
 * null line or unknown layout: rejected with ``line_is_null`` / ``unknown_layout``.
 * empty or blank line: rejected (wrong number of columns, or malformed JSON).
 * empty table: both outputs are empty.
-* repeated lines, also with the same id: every input row is judged alone; the result names each id once.
+* repeated lines, also with the same id or a null id: every input row is judged alone, also beside a bad row of its id;
+  the rejects name each id once.
 * extra columns are ignored, also those named like an output column.
 * a very long line is parsed like any other, there is no length limit.
 """
@@ -41,7 +42,7 @@ RULES = (
 )
 #: white space and invisible characters: a value of these alone is blank.
 BLANKS = r"\s\p{Z}​-‏⁠﻿­\u0000"
-PARSED = "_row long, layout_error string, cells array<struct<column:string,value:string>>"
+PARSED = "_row long, _key string, layout_error string, cells array<struct<column:string,value:string>>"
 
 
 class Malformed(ValueError):
@@ -162,6 +163,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "_row": batch["_row"],
+                "_key": batch["_key"],
                 "layout_error": [why for why, _ in rows],
                 "cells": [None if cells is None else [{"column": c, "value": v} for c, v in zip(FIELDS, cells)] for _, cells in rows],
             }
@@ -203,20 +205,22 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def parse_cells(raw: DataFrame, row: str = "line_id") -> DataFrame:
-    """One row per input line: its id, why it has no cells, and its cells."""
+    """One row per input line: its id, a key of its id and content, why it has no cells, and its cells."""
     lines = raw.select(F.col(row).alias("_row"), F.col("layout").cast("string").alias("layout"), F.col("raw").cast("string").alias("raw"))
+    digest = lambda c: F.coalesce(F.sha2(c, 256), F.lit("null"))
+    lines = lines.withColumn("_key", F.sha2(F.concat_ws(" ", F.coalesce(F.col("_row").cast("string"), F.lit("null")), digest("layout"), digest("raw")), 256))
     return lines.mapInPandas(_parse_batches, PARSED)
 
 
-def cell_errors(parsed: DataFrame) -> DataFrame:
-    """(_row, reasons): every line that fails, with its sorted reasons."""
+def cell_errors(parsed: DataFrame, by: str = "_row") -> DataFrame:
+    """(_row, reasons): every line that fails, with its sorted reasons; by _key, lines of one id are apart."""
     rules = F.broadcast(rule_table(parsed.sparkSession))  # RULES is a fixed table of ten rows
-    cells = parsed.select("_row", F.posexplode_outer("cells").alias("_pos", "_cell"), "layout_error").select("_row", "layout_error", F.col("_cell.column").alias("column"), F.col("_cell.value").alias("value"))
+    cells = parsed.select(by, F.posexplode_outer("cells").alias("_pos", "_cell"), "layout_error").select(by, "layout_error", F.col("_cell.column").alias("column"), F.col("_cell.value").alias("value"))
     judged = cells.join(rules, "column", "left").withColumn(
         "error",
         F.when(F.col("layout_error").isNotNull(), F.col("layout_error")).when(~F.coalesce(rule_holds(F.col("rule"), F.col("value")), F.lit(False)), F.concat("column", F.lit("."), "rule")),
     )
-    return judged.filter("error is not null").groupBy("_row").agg(F.array_sort(F.collect_set("error")).alias("reasons"))
+    return judged.filter("error is not null").groupBy(by).agg(F.array_sort(F.collect_set("error")).alias("reasons"))
 
 
 def split_rejects(raw: DataFrame, row: str = "line_id") -> tuple[DataFrame, DataFrame]:
@@ -227,7 +231,7 @@ def split_rejects(raw: DataFrame, row: str = "line_id") -> tuple[DataFrame, Data
     parsed = parse_cells(raw, row)
     errors = cell_errors(parsed)
     value = lambda k: F.element_at(F.col("cells"), k + 1)["value"]
-    typed = parsed.join(errors, "_row", "left_anti").select(
+    typed = parsed.join(cell_errors(parsed, "_key"), "_key", "left_anti").select(
         F.col("_row").alias(row),
         value(0).alias("record_key"),
         value(1).alias("image"),

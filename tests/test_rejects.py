@@ -65,6 +65,13 @@ def test_repeated_lines_and_empty_table(spark):
     assert clean.count() == rejects.count() == 0
 
 
+def test_good_and_bad_lines_of_one_id_or_none(spark):
+    df = lines(spark, [(1, "csv", GOOD, None), (1, "csv", "", None), (1, "xml", GOOD, None), (None, "csv", GOOD, None), (None, "csv", None, None), (None, None, GOOD, None), (2, "csv", "", None)])
+    clean, rejects = split_rejects(df)
+    assert sorted((r.line_id or 0, r.record_key) for r in clean.collect()) == [(0, "7"), (1, "7")]
+    assert {r.line_id: len(r.reasons) for r in rejects.collect()} == {None: 2, 1: 2, 2: 1}
+
+
 def test_very_long_answer(spark):
     answer = "<ref>icon</ref>" + "<box><1><2><3><4></box>" * 20000
     df = lines(spark, [(1, "csv", f"7,a/b.png,1,1,x,{answer}", None), (2, "csv", f"7,a/b.png,1,1,x,{answer}<box>", None)])
