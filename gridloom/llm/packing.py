@@ -1,8 +1,8 @@
 """Filling containers of a fixed capacity with items of varying length by exact-complement hashing.
 
 Items of one length are alike, so a plan is made for the counts of the lengths of a group (at most one count for each
-length up to the capacity, however many items there are). Single, pair and triple sums of the lengths still there are
-indexed; the largest length is combined with the single, pair or triple that fills its gap exactly, as often as the
+length up to the capacity, however many items there are). Single and pair sums of the lengths are indexed, and a triple
+is each possible first length with an indexed pair; the largest length is combined with the single, pair or triple that fills its gap exactly, as often as the
 counts allow; where there is none, the largest length that fits the gap is added (best fit) and the index is asked
 again. The plan is a list of patterns, each with the number of containers that follow it. Items get their place by rank
 within their length, ranks being made in SALTS parts, so that no task sorts a hot length or group.
@@ -60,7 +60,7 @@ def record_lengths(annotations: DataFrame, images: DataFrame) -> DataFrame:
 
 
 class _Sums:
-    """The lengths still there as bit sets: bit n of single, pair and triple says that n is a sum of one, two, three."""
+    """The lengths as bit sets: bit n of single says that n is still there, bit n of pair that n was a sum of two at first."""
 
     def __init__(self, counts: dict[int, int], capacity: int):
         self.counts, self.capacity, self.mask = counts, capacity, (1 << capacity + 1) - 1
@@ -106,25 +106,18 @@ class _Sums:
             return (gap,)
         if self.pair >> gap & 1 and (found := self.pair_for(gap, used)):
             return found
-        # a third length whose rest may be a pair; the pair index is only ever too wide, pair_for decides
+        # each third length whose rest may be a pair; the pair index is only ever too wide, pair_for decides
         candidates = self.single & (1 << gap) - 1
-        tries = 0
-        while candidates and tries < TRIPLE_TRIES:
+        while candidates:
             a = candidates.bit_length() - 1
             candidates &= ~(1 << a)
             if 3 * a < gap:
                 break
-            if self.pair >> gap - a & 1 and self.there((a, *used)):
-                tries += 1
-                if found := self.pair_for(gap - a, (a, *used)):
-                    return (a, *found)
+            if self.pair >> gap - a & 1 and self.there((a, *used)) and (found := self.pair_for(gap - a, (a, *used))):
+                return (a, *found)
         return None
 
 
-#: how many first lengths of a triple are tried for a gap before best fit takes over
-TRIPLE_TRIES = 32
-
-
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """(lengths in a container, number of such containers) that place all counted items of 1 to capacity."""
     sums = _Sums({k: n for k, n in counts.items() if n > 0}, capacity)

@@ -36,6 +36,16 @@ def test_complement_against_brute_force(lengths, gap):
         assert sum(found) == gap and not Counter(found) - Counter(lengths)
 
 
+def test_triples_are_found_after_many_stale_pairs():
+    """Pairs that are used up fill the index; a triple far behind them is still found."""
+    high, low = range(301, 401), range(1, 250)
+    sums = _Sums({length: 1 for length in [*high, *low]}, 1000)
+    for length in low:
+        if length not in (104, 195):
+            sums.take(length, 1)
+    assert sorted(sums.complement(600, ())) == [104, 195, 301]
+
+
 ANNOTATIONS = "record_id long, dataset string, conversations array<struct<speaker:string,value:string>>, image string, image_list array<string>, ingested_at timestamp, tokens string"
 
 
