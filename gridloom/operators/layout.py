@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark import SparkContext, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -18,17 +21,32 @@ def spread_small(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The table written to the shared checkpoint folder, so that a lost executor costs no more than its reading.
+def shared_folder(context: SparkContext) -> str:
+    """The folder that all executors see: the cluster's, named by spark.checkpoint.dir; in local mode one is made if it is unset."""
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if context.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="gridloom-")
 
-    The folder is the cluster's, named by spark.checkpoint.dir; only where that is unset, as in tests, is one made.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder, so that a lost executor costs no more than its reading."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-"))
+        context.setCheckpointDir(shared_folder(context))
     return df.checkpoint()
 
 
+def ship(spark: SparkSession, value: object) -> Callable[[], object]:
+    """A bounded object broadcast with the code of its classes; the result, called in a task, gives it back.
+
+    The workers need no copy of the package, as the object is pickled by value.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """The table marked for a broadcast if it has at most so many rows, which is looked up; else as it is, to be shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

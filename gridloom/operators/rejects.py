@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.operators.layout import cut
+
 FIELDS = ("record_key", "image", "width", "height", "human", "gpt")
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 #: column, rule: the checks that a cell of the column must pass.
@@ -42,7 +44,7 @@ RULES = (
 )
 #: white space and invisible characters: a value of these alone is blank.
 BLANKS = r"\s\p{Z}​-‏⁠﻿­\u0000"
-PARSED = "_row long, _key string, layout_error string, cells array<struct<column:string,value:string>>"
+PARSED = "_row long, layout_error string, cells array<struct<column:string,value:string>>"
 
 
 class Malformed(ValueError):
@@ -163,7 +165,6 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(
             {
                 "_row": batch["_row"],
-                "_key": batch["_key"],
                 "layout_error": [why for why, _ in rows],
                 "cells": [None if cells is None else [{"column": c, "value": v} for c, v in zip(FIELDS, cells)] for _, cells in rows],
             }
@@ -205,15 +206,13 @@ def rule_table(spark: SparkSession) -> DataFrame:
 
 
 def parse_cells(raw: DataFrame, row: str = "line_id") -> DataFrame:
-    """One row per input line: its id, a key of its id and content, why it has no cells, and its cells."""
+    """One row per input line: its id, why it has no cells, and its cells."""
     lines = raw.select(F.col(row).alias("_row"), F.col("layout").cast("string").alias("layout"), F.col("raw").cast("string").alias("raw"))
-    digest = lambda c: F.coalesce(F.sha2(c, 256), F.lit("null"))
-    lines = lines.withColumn("_key", F.sha2(F.concat_ws(" ", F.coalesce(F.col("_row").cast("string"), F.lit("null")), digest("layout"), digest("raw")), 256))
     return lines.mapInPandas(_parse_batches, PARSED)
 
 
 def cell_errors(parsed: DataFrame, by: str = "_row") -> DataFrame:
-    """(_row, reasons): every line that fails, with its sorted reasons; by _key, lines of one id are apart."""
+    """(by, reasons): every line that fails, with its sorted reasons."""
     rules = F.broadcast(rule_table(parsed.sparkSession))  # RULES is a fixed table of ten rows
     cells = parsed.select(by, F.posexplode_outer("cells").alias("_pos", "_cell"), "layout_error").select(by, "layout_error", F.col("_cell.column").alias("column"), F.col("_cell.value").alias("value"))
     judged = cells.join(rules, "column", "left").withColumn(
@@ -226,12 +225,12 @@ def cell_errors(parsed: DataFrame, by: str = "_row") -> DataFrame:
 def split_rejects(raw: DataFrame, row: str = "line_id") -> tuple[DataFrame, DataFrame]:
     """(clean records, rejects).
 
-    Clean: the row id and the six typed values. Rejects: the row id and the reasons.
+    Clean: the row id and the six typed values. Rejects: the row id and the reasons. Every line is parsed once, into a
+    table of the shared folder, in which it has a number of its own.
     """
-    parsed = parse_cells(raw, row)
-    errors = cell_errors(parsed)
+    parsed = cut(parse_cells(raw, row).withColumn("_line", F.monotonically_increasing_id()))
     value = lambda k: F.element_at(F.col("cells"), k + 1)["value"]
-    typed = parsed.join(cell_errors(parsed, "_key"), "_key", "left_anti").select(
+    typed = parsed.join(cell_errors(parsed, "_line"), "_line", "left_anti").select(
         F.col("_row").alias(row),
         value(0).alias("record_key"),
         value(1).alias("image"),
@@ -240,4 +239,4 @@ def split_rejects(raw: DataFrame, row: str = "line_id") -> tuple[DataFrame, Data
         value(4).alias("human"),
         value(5).alias("gpt"),
     )
-    return typed, errors.select(F.col("_row").alias(row), "reasons")
+    return typed, cell_errors(parsed).select(F.col("_row").alias(row), "reasons")

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import masks as R
+from gridloom.operators.layout import shared_folder
 from gridloom.plans.boxes import BOXES, boxes, gt_boxes
 from gridloom.plans.samples import C12, DOCS, _workers
 from gridloom.sources import files as S
@@ -149,8 +149,7 @@ SESSIONS = "WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION
 def run_stream(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there now, into files of the shared folder, and gives its result."""
     context = spark.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-")
-    out = f"{base}/{name}-{context._jvm.java.util.UUID.randomUUID()}"
+    out = f"{shared_folder(context)}/{name}-{context._jvm.java.util.UUID.randomUUID()}"
     stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
