@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from gridloom.llm import leakage
@@ -68,13 +69,17 @@ def brute(docs, items):
 
 
 def test_found_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(leakage, "PASSAGES_A_PRODUCT", 7)
+    monkeypatch.setattr(leakage, "PIECES_A_SUM", 7)
     docs = corpus()
     items = [(1, ITEM, "en"), (1, ITEM, "en"), (2, CHINESE, "zh"), (3, None, "en"), (4, "too short", None), (5, "", "zh"), (6, ITEM.split(". ")[0] + " again and again", None)]
     documents = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string")
     table = spark.createDataFrame([(*r, 1) for r in items], "item_id long, item_text string, lang string, doc_id int")
-    for block in (100, 2):
-        leaks = leaked_items(documents, table, items_a_block=block).collect()
+    # one block; several blocks; several groups of blocks; an item in several segments
+    for passages, terms, segment in ((1000, 10**6, 1000), (3, 10**6, 1000), (3, 10, 1000), (1000, 10**6, 7)):
+        monkeypatch.setattr(leakage, "PASSAGES_A_BLOCK", passages)
+        monkeypatch.setattr(leakage, "MOST_TERMS", terms)
+        monkeypatch.setattr(leakage, "SEGMENT", segment)
+        leaks = leaked_items(documents, table).collect()
         assert {(r.doc_id, r.item_id) for r in leaks if r.kind == "verbatim"} == brute(docs, items)
         assert len(leaks) == len({(r.doc_id, r.item_id) for r in leaks})
 
@@ -103,6 +108,47 @@ def test_paraphrase(spark):
     assert [(r.doc_id, r.kind) for r in leaked_items(documents, items).collect()] == [(1, "paraphrase")]
 
 
+def test_paraphrases_against_brute_force(spark):
+    """Of all pairs whose passages share a long common subsequence with the rarest terms, the index brings nine in ten."""
+    rng = random.Random(8)
+    stock = [f"w{i}" for i in range(400)]
+    items = [(i, " ".join(rng.sample(stock, 36)), "en") for i in range(60)]
+    docs = []
+    for d in range(300):
+        words = rng.choices(stock, k=60)
+        source = items[rng.randrange(60)][1].split()
+        at = rng.randrange(24)
+        part = [w if rng.random() > 0.1 else "other" for w in source[at : at + 14]]
+        docs.append((d, " ".join(words[:30] + part + words[30:])))
+    table = spark.createDataFrame(items, "item_id long, item_text string, lang string")
+    found = {(r.doc_id, r.item_id) for r in leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()}
+    block = next(leakage.blocks_of(iter(items)))
+    reader = leakage.Reader([block])
+    seen = {t: sum(t in set(text.split()) for _, text in docs) for t in block.vocabulary}
+    want = set()
+    for k, passage in enumerate(block.passages):
+        answer = set(sorted(set(passage), key=lambda t: (seen[t], block.vocabulary[t]))[: leakage.ANSWER_TERMS])
+        for d, text in docs:
+            words = reader(text)[0]
+            for start in range(0, len(words) - WORDS_RUN + 1, WORDS_RUN):
+                part = words[start : start + 2 * WORDS_RUN]
+                if answer <= set(part) and lcs_length(part, passage) >= leakage.LCS_SHARE * len(passage):
+                    want.add((d, block.items[block.owner[k]]))
+    assert len(want) > 30 and len(found & want) >= 0.9 * len(want)
+
+
+def test_latent_space_is_that_of_the_exact_decomposition(spark):
+    rng = np.random.default_rng(1)
+    rows = [(sorted(rng.choice(40, 6, replace=False).tolist()), rng.random(6).tolist()) for _ in range(50)]
+    matrix = np.zeros((50, 40))
+    for i, (columns, values) in enumerate(rows):
+        matrix[i, columns] = values
+    table = spark.createDataFrame(rows, "columns array<int>, values array<double>").repartition(3)
+    space = leakage.latent_space(table, 40, 8)
+    exact = np.linalg.svd(matrix, full_matrices=False)[2][:8].T
+    assert space.shape == (40, 8) and np.linalg.norm(matrix @ space) > 0.999 * np.linalg.norm(matrix @ exact)
+
+
 def test_empty(spark):
     documents = spark.createDataFrame([], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM, "en")], "item_id long, item_text string, lang string")
