@@ -3,7 +3,7 @@ from collections import Counter
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm.packing import _Sums, fill_report, packed, plan, ranked, record_lengths
+from gridloom.llm.packing import _Sums, fill_report, packed, placed, plan, ranked, record_lengths
 
 
 @settings(max_examples=150, deadline=None)
@@ -46,6 +46,45 @@ def test_triples_are_found_after_many_stale_pairs():
     assert sorted(sums.complement(600, ())) == [104, 195, 301]
 
 
+def test_complements_of_many_lengths_against_brute_force():
+    """Up to 60 lengths, also after some have run out: a complement is found if and only if there is one."""
+    import random
+    from itertools import combinations
+
+    rng = random.Random(4)
+    for _ in range(60):
+        lengths = rng.sample(range(1, 900), rng.randrange(20, 60))
+        sums = _Sums({x: 1 for x in lengths}, 1000)
+        for _ in range(4):
+            there = list(sums.counts)
+            all_sums = {sum(c) for n in (1, 2, 3) for c in combinations(there, n)}
+            for gap in rng.sample(range(1, 1000), 25):
+                found = sums.complement(gap, ())
+                assert (found is not None) == (gap in all_sums) and (not found or sum(found) == gap)
+            for x in rng.sample(there, 4):
+                sums.take(x, 1)
+
+
+def test_a_triple_behind_many_first_lengths():
+    """Each of many larger lengths leaves a rest that no pair fills; the triple behind them is found by the index."""
+    lengths = [19998, 19999, 20003, *range(30001, 30145, 2)]
+    sums = _Sums({x: 1 for x in lengths}, 65536)
+    assert sorted(sums.complement(60000, ())) == [19998, 19999, 20003]
+
+
+def test_places_in_blocks(spark):
+    slots = [("a", 5, 0, 2, 0, 9), ("a", 5, 10, 1, 5, 9), ("a", 5, 11, 3, 6, 9), ("b", 5, 0, 1, 0, 4), ("a", 0, 0, 50, 0, 9)]
+    ranks = [("a", 5, r, f"a5-{r}") for r in range(20)] + [("b", 5, r, f"b5-{r}") for r in range(4)] + [("a", 0, r, f"a0-{r}") for r in range(50)]
+    table = spark.createDataFrame(slots, "dataset string, length long, first long, per_container long, container long, containers long")
+    df = spark.createDataFrame(ranks, "dataset string, length long, rank long, record_id string")
+    want = {}
+    for dataset, length, rank, name in ranks:
+        want[name] = max((s[2:5] for s in slots if s[:2] == (dataset, length) and s[2] <= rank))
+    for block in (1, 3, 7, 1000):
+        got = {r.record_id: (r["first"], r.per_container, r.container) for r in placed(df, table, block).collect()}
+        assert got == want
+
+
 ANNOTATIONS = "record_id long, dataset string, conversations array<struct<speaker:string,value:string>>, image string, image_list array<string>, ingested_at timestamp, tokens string"
 
 
