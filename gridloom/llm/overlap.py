@@ -3,8 +3,10 @@
 Every sample is normalised to short texts: the hex digits of its digest and the key of its capture. The texts of the
 evaluation splits are cut into passages; passages and train texts are sharded by an anchor that equal texts share, an
 Aho-Corasick automaton per shard scans the train texts of its shard, and the intervals matched at their own place are
-merged into the coverage of the evaluation record. Only distinct texts are scanned; links between texts are expanded to
-samples afterwards, by joins whose keys are salted.
+merged. Two texts are linked if the merged intervals cover the whole passages of the shorter one from its begin on and the
+letters after them agree; the intervals of all linked train texts together are the coverage of the evaluation record. Only
+distinct texts are scanned. Pairs of samples are what links are expanded to for the list of pairs, by joins whose keys are salted;
+the report multiplies counts of texts instead, so a hot capture costs it no pairs.
 
 Defined results for odd input
 -----------------------------
@@ -34,6 +36,7 @@ SHORTEST = 16
 #: sha256 of empty input
 EMPTY_DIGEST = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 SHARDS = 8192
+LINKS = "eval_text string, train_text string, intervals array<struct<start:int,end:int>>"
 SALTS = 16
 #: apps is a small dimension; beyond this many rows the operator refuses to ship it to the executors
 MAX_APPS = 200_000
@@ -127,13 +130,25 @@ def passages(text: str) -> list[tuple[int, str]]:
     return [(0, text[: SHORTEST + 1]), *((s, text[s : s + SHORTEST]) for s in starts[1:])]
 
 
-def merged(intervals: list[tuple[int, int]]) -> int:
-    """Letters that the intervals cover together."""
-    total = reach = 0
+def merged(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The intervals without overlaps, touching ones as one."""
+    out: list[tuple[int, int]] = []
     for start, end in sorted(intervals):
-        total += max(0, end - max(start, reach))
-        reach = max(reach, end)
-    return total
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def covered(text: str, other: str, intervals: list[tuple[int, int]]) -> bool:
+    """Whether matched intervals show that two texts denote the same: they cover all whole passages of the shorter one."""
+    shorter = min(len(text), len(other))
+    first = merged(intervals)[0]
+    if text[0] == "c":
+        return first == (0, len(other)) and len(text) == len(other)
+    whole = 1 + (shorter - 1) // SHORTEST * SHORTEST
+    return first[0] == 0 and first[1] >= whole and text[whole:shorter] == other[whole:shorter]
 
 
 def _scan_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -168,33 +183,44 @@ def _scan_shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         hits.setdefault(index, []).append((start, end + 1))
             for index, intervals in hits.items():
                 other = texts[index]
-                if min(intervals)[0] > 0:
-                    continue  # the heads differ
-                same = other == text if text[0] == "c" else other.startswith(text) or text.startswith(other)
-                if same:
-                    links.append((other, text, merged(intervals) / len(other)))
-        yield pd.DataFrame(links, columns=["eval_text", "train_text", "coverage"])
+                if covered(text, other, intervals):
+                    links.append((other, text, [{"start": a, "end": b} for a, b in merged(intervals)]))
+        yield pd.DataFrame(links, columns=["eval_text", "train_text", "intervals"])
 
 
 def text_links(texts: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """(eval_text, train_text, coverage): the distinct texts of the two sides that denote the same file or capture."""
+    """(eval_text, train_text, intervals): the distinct texts of the two sides that denote the same file or capture."""
     anchor = F.when(F.col("text").startswith("d"), F.substring("text", 1, SHORTEST + 1)).otherwise(F.col("text"))
     sides = texts.select(F.pmod(F.xxhash64(anchor), F.lit(shards)).cast("int").alias("shard"), (F.col("split") == "train").alias("train"), "text").distinct()
-    return sides.repartition("shard").sortWithinPartitions("shard", "train").mapInPandas(_scan_shards, "eval_text string, train_text string, coverage double")
+    return sides.repartition("shard").sortWithinPartitions("shard", "train").mapInPandas(_scan_shards, LINKS)
+
+
+def coverage_of(links: DataFrame) -> DataFrame:
+    """(eval_text, coverage): the share of each evaluation text that the intervals of all its train texts cover together.
+
+    The borders of the passages bound the number of different intervals of a text, so their set is small however many texts match.
+    """
+    spans = F.array_sort(F.flatten(F.collect_set("intervals")))
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("reach"))
+    step = lambda at, x: F.struct((at["sum"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], at["reach"]))).alias("sum"), F.greatest(at["reach"], x["end"]).alias("reach"))
+    return links.groupBy("eval_text").agg(spans.alias("spans")).select("eval_text", (F.aggregate("spans", zero, step)["sum"] / F.length("eval_text")).alias("coverage"))
 
 
 def cross_split_pairs(manifest: DataFrame, apps: DataFrame, shards: int = SHARDS, salts: int = SALTS) -> DataFrame:
-    """(eval_id, eval_split, train_id, kind, coverage): every evaluation sample with a train sample it repeats."""
+    """(eval_id, eval_split, train_id, kind): every evaluation sample with a train sample it repeats."""
     texts = cut(sample_texts(manifest, apps))  # normalised once, read three times
-    links = text_links(texts, shards)
+    links = text_links(texts, shards).select("eval_text", "train_text")
     members = texts.withColumn("salt", F.pmod(F.xxhash64("sample_id"), F.lit(salts)).cast("int"))
     spread = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     evaluation = members.filter("split <> 'train'").select(F.col("sample_id").alias("eval_id"), F.col("split").alias("eval_split"), F.col("text").alias("eval_text"), "salt")
     train = members.filter("split = 'train'").select(F.col("sample_id").alias("train_id"), F.col("text").alias("train_text"), "salt")
     first = spread(links).join(evaluation, ["eval_text", "salt"]).drop("salt")
     pairs = spread(first).join(train, ["train_text", "salt"])
-    kind = F.when(F.col("eval_text").startswith("d"), "sha256").otherwise("image")
-    return pairs.filter("eval_id <> train_id").select("eval_id", "eval_split", "train_id", kind.alias("kind"), "coverage")
+    return pairs.filter("eval_id <> train_id").select("eval_id", "eval_split", "train_id", kind_of("eval_text").alias("kind"))
+
+
+def kind_of(text: str) -> Column:
+    return F.when(F.col(text).startswith("d"), "sha256").otherwise("image")
 
 
 def found_pairs(pairs: DataFrame) -> DataFrame:
@@ -202,12 +228,29 @@ def found_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("eval_id", "train_id").alias("sample_id_a"), F.greatest("eval_id", "train_id").alias("sample_id_b")).distinct()
 
 
-def overlap_report(pairs: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Pairs and repeated evaluation samples per evaluation split, source and kind; null sources count as one source."""
-    latest = manifest.groupBy(F.col("sample_id").cast("long").alias("eval_id")).agg(F.max_by("source", F.coalesce("ingested_at", "captured_at")).alias("source"))
-    per_sample = pairs.groupBy("eval_id", "eval_split", "kind").agg(F.count_distinct("train_id").alias("pairs"), F.max("coverage").alias("coverage"))
+def overlap_report(manifest: DataFrame, apps: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """Repeated evaluation samples, their pairs and mean coverage per evaluation split, source and kind; null sources count as one source.
+
+    Samples with the same texts of a kind are one set of texts; each set meets each of its train samples once, and the
+    counts of a set are multiplied by the number of its samples. A sample that is also in train is no partner of itself.
+    """
+    texts = cut(sample_texts(manifest, apps))
+    links = cut(text_links(texts, shards))
+    latest = manifest.filter("sample_id is not null").groupBy(F.col("sample_id").cast("long").alias("sample_id")).agg(F.max_by("source", F.coalesce("ingested_at", "captured_at")).alias("source"))
+    linked = links.select(F.col("eval_text").alias("text")).distinct()
+    samples = texts.filter("split <> 'train'").join(linked, "text").groupBy("sample_id", "split", kind_of("text").alias("kind")).agg(F.sort_array(F.collect_set("text")).alias("texts"))
+    samples = cut(samples.withColumn("text_set", F.sha2(F.to_json("texts"), 256)))
+    sets = samples.groupBy("text_set").agg(F.first("texts").alias("texts")).select("text_set", F.explode("texts").alias("eval_text"))
+    train = texts.filter("split = 'train'").select(F.col("sample_id").alias("train_id"), F.col("text").alias("train_text"))
+    partners = sets.join(links, "eval_text").select("text_set", "train_text").distinct()
+    # counted in two steps, so that the train samples of a hot text are never in one task
+    met = partners.join(train, "train_text").groupBy("text_set", "train_id").agg(F.lit(1).alias("one")).groupBy("text_set").agg(F.count("*").alias("partners"))
+    share = sets.join(coverage_of(links), "eval_text").groupBy("text_set").agg(F.max("coverage").alias("coverage"))
+    itself = samples.join(train, samples.sample_id == train.train_id).join(partners, ["text_set", "train_text"]).select("sample_id", "split", "kind").distinct().withColumn("itself", F.lit(1))
+    known = samples.drop("texts").join(met, "text_set").join(share, "text_set").join(itself, ["sample_id", "split", "kind"], "left").join(latest, "sample_id")
+    pairs = F.col("partners") - F.coalesce("itself", F.lit(0))
     return (
-        per_sample.join(latest, "eval_id")
-        .groupBy("eval_split", "source", "kind")
-        .agg(F.count("*").alias("eval_samples"), F.sum("pairs").alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+        known.filter(pairs > 0)
+        .groupBy(F.col("split").alias("eval_split"), "source", "kind")
+        .agg(F.count("*").alias("eval_samples"), F.sum(pairs).alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
     )

@@ -14,8 +14,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
-    manifest = table(spark, folder, "manifest")
-    return overlap.overlap_report(overlap.cross_split_pairs(manifest, table(spark, folder, "apps")), manifest)
+    return overlap.overlap_report(table(spark, folder, "manifest"), table(spark, folder, "apps"))
 
 
 def _lengths(spark: SparkSession, folder: str) -> DataFrame:

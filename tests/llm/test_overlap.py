@@ -2,7 +2,7 @@ import hashlib
 
 import pytest
 
-from gridloom.llm.overlap import EMPTY_DIGEST, capture_text, cross_split_pairs, digest_text, fold, found_pairs, merged, overlap_report, passages
+from gridloom.llm.overlap import EMPTY_DIGEST, capture_text, coverage_of, covered, cross_split_pairs, digest_text, fold, found_pairs, merged, overlap_report, passages
 
 HEX = hashlib.sha256(b"x").hexdigest()
 APPS = {fold(k): fold(k) for k in ("harrémo-planner", "vevali-studio")}
@@ -41,9 +41,24 @@ def test_captures_of_no_app():
 
 
 def test_merged_intervals_and_passages():
-    assert merged([(0, 4), (2, 6), (8, 9)]) == 7
+    assert merged([(0, 4), (2, 6), (8, 9)]) == [(0, 6), (8, 9)] and merged([(0, 4), (4, 6)]) == [(0, 6)]
     text = "d" + HEX[:20]
-    assert merged([(o, o + len(p)) for o, p in passages(text)]) == len(text)
+    assert merged([(o, o + len(p)) for o, p in passages(text)]) == [(0, len(text))]
+
+
+def test_covered():
+    whole, short = "d" + HEX, "d" + HEX[:40]
+    hits = lambda a, b: [(o, o + len(p)) for o, p in passages(a) if b[o : o + len(p)] == p]
+    for a, b in ((whole, short), (short, whole), (whole, whole)):
+        assert covered(a, b, hits(b, a))
+    other = "d" + HEX[:39] + ("0" if HEX[39] != "0" else "1")
+    assert not covered(other, whole, hits(whole, other)) and not covered(whole, other, hits(other, whole))
+    assert not covered("d" + "f" * 17 + HEX[17:], whole, [(33, 49), (49, 65)])
+
+
+def test_coverage_is_merged_over_all_train_texts(spark):
+    links = spark.createDataFrame([("x" * 10, "a", [(0, 4)]), ("x" * 10, "b", [(2, 6), (8, 9)]), ("y" * 4, "a", [(0, 4)])], "eval_text string, train_text string, intervals array<struct<start:int,end:int>>")
+    assert {r.eval_text: r.coverage for r in coverage_of(links).collect()} == {"x" * 10: 0.7, "y" * 4: 1.0}
 
 
 SCHEMA = "sample_id long, split string, source string, image string, sha256 string, captured_at timestamp, ingested_at timestamp, coverage int"
@@ -89,8 +104,11 @@ def test_pairs_against_brute_force(spark):
     pairs = cross_split_pairs(manifest(spark, rows), apps(spark), shards=8)
     got = [tuple(r) for r in found_pairs(pairs).collect()]
     assert len(got) == len(set(got)) and set(got) == brute(rows)
-    report = overlap_report(pairs, manifest(spark, rows)).collect()
-    assert sum(r.pairs for r in report if r.kind == "image") == 1200 + 2 and all(0 < r.mean_coverage <= 1 for r in report)
+    rows += [(300, "train", "shots/harrémo-planner/hot_5.png", HEX), (300, "val", "shots/harrémo-planner/hot_5.png", HEX[:20]), (300, "val", None, HEX)]
+    each = cross_split_pairs(manifest(spark, rows), apps(spark), shards=8).distinct().toPandas()
+    want = {(s, k): (len(set(g.eval_id)), len(g)) for (s, k), g in each.groupby(["eval_split", "kind"])}
+    report = overlap_report(manifest(spark, rows), apps(spark), shards=8).collect()
+    assert {(r.eval_split, r.kind): (r.eval_samples, r.pairs) for r in report} == want and all(0 < r.mean_coverage <= 1 for r in report)
 
 
 def test_empty(spark):
