@@ -5,7 +5,7 @@ and further copies within a source are texts of their own, so that every documen
 their sources (the membership pattern); a min-cost flow routes the tokens of the patterns to the quotas of the sources,
 where each further repetition of a text costs more than the one before (convex costs), so that repetition is spread and
 as low as the quotas allow. The total is the largest that the capped repetitions can serve in the target shares, unless
-one is given. Within a pattern, texts are taken in a seeded order up to the tokens that the flow routes.
+one is given; the sources that keep it from being larger are named in the report. Within a pattern, texts are taken in a seeded order up to the tokens that the flow routes.
 
 Defined results for odd input
 -----------------------------
@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +29,14 @@ from pyspark.sql import Window as W
 
 from gridloom.llm.draws import positions
 from gridloom.llm.packing import ranked
-from gridloom.operators.layout import bounded, cut, spread_small
+from gridloom.operators.layout import bounded, cut, small, spread_small
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 SEED = 31
 #: sets of sources are few; more than this is refused
 MOST_PATTERNS = 20_000
+#: up to so many sources, the total follows from all sets of sources
+MOST_SETS_OF = 12
 BATCH = 128
 
 
@@ -124,8 +127,40 @@ def shares_of(total: int, shares: dict[str, float]) -> dict[str, int]:
     return {s: int(total * x / whole) for s, x in shares.items()}
 
 
+def total_and_limits(patterns: list[tuple[tuple[str, ...], int]], shares: dict[str, float], repeats: dict[str, int]) -> tuple[int, set[str]]:
+    """(the largest total whose quotas can all be served, the sources that limit it).
+
+    By the theorem of the least cut, quotas can be served if and only if no set of sources wants more than the texts of its
+    sources give with as many repetitions as the most patient of them allows; so the total is the least ratio of what a set can get to
+    its share. Beyond MOST_SETS_OF sources, the sets are too many and the total is bisected over feasible flows.
+    """
+    names = sorted(shares)
+    if len(names) > MOST_SETS_OF:
+        return bisected_total(patterns, shares, repeats), set()
+    sets = np.arange(1, 1 << len(names))
+    order = sorted(range(len(names)), key=lambda i: -repeats[names[i]])
+    supply = np.zeros(len(sets))
+    for sources, tokens in patterns:
+        most, open_ = np.zeros(len(sets)), np.ones(len(sets), dtype=bool)
+        for i in order:
+            if names[i] in sources:
+                hit = open_ & (sets >> i & 1 == 1)
+                most[hit] = repeats[names[i]]
+                open_ &= ~hit
+        supply += most * tokens
+    whole = sum(shares.values())
+    wanted = sum((sets >> i & 1) * (shares[name] / whole) for i, name in enumerate(names))
+    ratio = supply / wanted
+    least = int(ratio.argmin())  # of equal sets the one of the lowest number, which is no wider than it must be
+    return int(ratio[least] * (1 + 1e-12)), {name for i, name in enumerate(names) if sets[least] >> i & 1}
+
+
 def largest_total(patterns: list[tuple[tuple[str, ...], int]], shares: dict[str, float], repeats: dict[str, int]) -> int:
-    """The largest total whose quotas can all be served, by bisection over feasible flows."""
+    """The largest total whose quotas can all be served."""
+    return total_and_limits(patterns, shares, repeats)[0]
+
+
+def bisected_total(patterns: list[tuple[tuple[str, ...], int]], shares: dict[str, float], repeats: dict[str, int]) -> int:
     low, high = 0, sum(tokens * max((repeats[s] for s in sources if s in shares), default=0) for sources, tokens in patterns)
     while low < high:
         middle = (low + high + 1) // 2
@@ -157,7 +192,8 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     patterns = sorted((tuple(r.pattern.split("\u001f")), int(r.tokens)) for r in bounded(found, MOST_PATTERNS, "sets of sources"))
     present = {s for sources, _ in patterns for s in sources}
     shares, repeats = {s: goals[s][0] for s in names if s in present}, {s: goals[s][1] for s in names}
-    total = largest_total(patterns, shares, repeats) if total_tokens is None else total_tokens
+    most, limiting = total_and_limits(patterns, shares, repeats) if shares else (0, set())
+    total = most if total_tokens is None else total_tokens
     routes = route(patterns, shares_of(total, shares), repeats)[1] if shares else []
     # Where the tokens of a repetition end up: consecutive stretches of the seeded order of the pattern.
     stretches, reach = [], {}
@@ -168,14 +204,16 @@ def mixture(documents: DataFrame, targets: DataFrame, total_tokens: int | None =
     plan = spark.createDataFrame(stretches, "pattern string, repetition int, source string, low long, high long")
     placed = positions(texts.filter("tokens > 0"), ["pattern"], "text_key", F.col("tokens"), seed)
     middle = F.col("position") * 2 + F.col("tokens")
-    used = placed.join(F.broadcast(plan), "pattern").filter((middle >= F.col("low") * 2) & (middle < F.col("high") * 2))  # the plan has a few rows per set of sources
+    used = placed.join(small(plan), "pattern").filter((middle >= F.col("low") * 2) & (middle < F.col("high") * 2))
     member = F.filter("members", lambda m: m["source"] == F.col("source"))[0]["doc_id"]
     mixed = used.select(member.alias("doc_id"), "source", "tokens").groupBy("doc_id", "source", "tokens").agg(F.count("*").cast("int").alias("uses"))
     have = texts.select(F.explode("members.source").alias("source"), "tokens").groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     reached = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("mixed_tokens"), F.max("uses").alias("most_uses"), F.count("*").alias("documents"))
-    report = spark.createDataFrame([(s, x, r) for s, (x, r) in sorted(goals.items())], "source string, target_share double, max_repeats int").join(F.broadcast(have), "source", "left").join(F.broadcast(reached), "source", "left")
+    whole = sum(shares.values())
+    wanted_rows = [(s, x, r, shares[s] / whole if s in shares else None, "absent" if s not in present and s in names else "no target" if s not in names else "limits the total" if s in limiting and total >= most else None) for s, (x, r) in sorted(goals.items())]
+    report = spark.createDataFrame(wanted_rows, "source string, target_share double, max_repeats int, share_of_present double, reason string").join(small(have), "source", "left").join(small(reached), "source", "left")
     report = report.withColumn("all_tokens", F.sum("mixed_tokens").over(W.partitionBy())).select(
-        "source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
-        F.round(F.coalesce(F.col("mixed_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"), F.when(F.col("available_tokens").isNull(), "absent").alias("reason"),
+        "source", "target_share", F.round("share_of_present", 6).alias("share_of_present"), "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
+        F.round(F.coalesce(F.col("mixed_tokens") / F.col("all_tokens"), F.lit(0.0)), 6).alias("reached_share"), "reason",
     )
     return mixed.select("doc_id", "source", "uses", "tokens"), report

@@ -10,8 +10,8 @@ Defined results for odd input
 * A category is spelled in any case and with any blanks, hyphens or underscores between its words; null or blank
   categories are in no target. Targets of one category are added, their largest minimum counts; null or negative
   shares count as 0. Shares are taken relative to their sum.
-* If the minimums together exceed the sample, they are reduced in proportion; if the categories hold fewer rows than
-  the sample, all their rows are taken. Either is reported, as is each target that cannot be met.
+* If the minimums together exceed the sample, they are reduced in proportion, but none to 0 while another keeps more than one row; if the categories hold fewer rows than the sample, all their rows are taken. Either is reported, as is
+  each target that cannot be met.
 * Empty tables: empty sample; the report still has every target.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.draws import positions
-from gridloom.operators.layout import bounded, cut
+from gridloom.operators.layout import bounded, cut, small
 
 SAMPLE_PART = 10
 SEED = 20
@@ -49,12 +49,23 @@ def largest_remainder(total: int, weights: list[float]) -> list[int]:
     return out
 
 
+def reduced(total: int, floors: list[int]) -> list[int]:
+    """Minimums that exceed a total, in proportion, none of them 0 while another keeps more than one."""
+    out = largest_remainder(total, floors)
+    for i in sorted((i for i, f in enumerate(floors) if f and not out[i]), key=lambda i: (floors[i], i)):
+        most = max(range(len(out)), key=lambda j: (out[j], -j))
+        if out[most] > 1:
+            out[most] -= 1
+            out[i] = 1
+    return out
+
+
 def quotas(total: int, shares: list[float], floors: list[int], available: list[int]) -> list[int]:
     """Integer quotas between the floors and what is available, as close to the shares as these bounds allow."""
     low = [min(f, a) for f, a in zip(floors, available)]
     total = min(total, sum(available))
     if sum(low) >= total:
-        return largest_remainder(total, low) if sum(low) > total else low
+        return reduced(total, low) if sum(low) > total else low
     fixed: dict[int, int] = {}
     while True:
         open_ = [i for i in range(len(shares)) if i not in fixed]
@@ -95,7 +106,7 @@ def _allot(group: pd.DataFrame) -> pd.DataFrame:
         if quota < math.floor(wanted):
             why.append("share not available" if quota == have else "share gives way to minimums")
         elif quota > math.ceil(wanted):
-            why.append("share raised by its minimum" if quota == min(floor, have) else "share raised by shortfalls elsewhere")
+            why.append("share raised by its minimum" if crowded or quota == min(floor, have) else "share raised by shortfalls elsewhere")
         reasons.append(", ".join(why) or None)
     group["reason"] = reasons
     return group[[c.split()[0] for c in _PLAN.split(", ")]]
@@ -118,18 +129,17 @@ def allotment(samples: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = wanted.filter("task is not null and expected_label is not null").groupBy("task", "expected_label").agg(F.sum("target_share").alias("target_share"), F.max("min_rows").alias("min_rows"), F.min("written").alias("written"))
     wanted = wanted.select("*", F.col("written.task").cast("string").alias("target_task"), F.col("written.expected_label").cast("string").alias("target_label")).drop("written")
     counts = category_counts(samples)
-    total = counts.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("samples")).withColumn("_one", F.lit(1))
-    rows = wanted.join(counts, ["task", "expected_label"], "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("_one", F.lit(1))
+    rows = wanted.join(counts, ["task", "expected_label"], "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("samples", F.lit(samples.count()))
     # the targets are a fixed table of at most MOST_TARGETS rows, allotted as one group
-    return rows.join(F.broadcast(total), "_one").groupBy("_one").applyInPandas(_allot, _PLAN)
+    return rows.groupBy("samples").applyInPandas(_allot, _PLAN)
 
 
 def proportional_sample(manifest: DataFrame, targets: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(sample, report): the sample's ids with their categories, and a row for each target."""
     bounded(targets.select("task"), MOST_TARGETS, "targets")
     samples = cut(latest_samples(manifest))
-    plan = allotment(samples, targets)
-    chosen = samples.join(F.broadcast(plan.filter("quota > 0").select("task", "expected_label", "target_task", "target_label", "quota")), ["task", "expected_label"])
+    plan = cut(allotment(samples, targets))
+    chosen = samples.join(small(plan.filter("quota > 0").select("task", "expected_label", "target_task", "target_label", "quota")), ["task", "expected_label"])
     sample = positions(chosen, ["task", "expected_label"], "sample_id", F.lit(1), seed).filter("position < quota").select("sample_id", F.col("target_task").alias("task"), F.col("target_label").alias("expected_label"))
     report = plan.drop("task", "expected_label").withColumnsRenamed({"target_task": "task", "target_label": "expected_label"}).select("*", F.round(F.when(F.col("sample_rows") > 0, F.col("quota") / F.col("sample_rows")), 9).alias("reached_share"))
     return sample, report

@@ -3,7 +3,7 @@ from itertools import product
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridloom.llm.mixing import TOKENIZER, Flow, largest_total, mixture, route, shares_of
+from gridloom.llm.mixing import TOKENIZER, Flow, bisected_total, largest_total, mixture, route, shares_of, total_and_limits
 
 
 @settings(max_examples=60, deadline=None)
@@ -32,6 +32,21 @@ def test_route_and_total():
     assert shares_of(10, {"a": 1.0, "b": 3.0}) == {"a": 2, "b": 7}
 
 
+PATTERN = st.tuples(st.sets(st.sampled_from("abcd"), min_size=1).map(lambda s: tuple(sorted(s))), st.integers(1, 500))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(PATTERN, min_size=1, max_size=8, unique_by=lambda p: p[0]), st.lists(st.integers(1, 9), min_size=4, max_size=4), st.lists(st.integers(1, 4), min_size=4, max_size=4))
+def test_total_of_all_sets_is_that_of_bisection(patterns, shares, repeats):
+    present = {s for sources, _ in patterns for s in sources}
+    wanted = {s: x / 10 for s, x in zip("abcd", shares) if s in present}
+    caps = dict(zip("abcd", repeats))
+    total, limiting = total_and_limits(patterns, wanted, caps)
+    assert abs(total - bisected_total(patterns, wanted, caps)) <= 4 + len(wanted) / min(x / sum(wanted.values()) for x in wanted.values())
+    quotas = shares_of(total, wanted)
+    assert route(patterns, quotas, caps)[0] == sum(quotas.values()) and limiting <= set(wanted) and limiting
+
+
 SCHEMA = "doc_id long, source string, text string, tokens int"
 
 
@@ -51,6 +66,7 @@ def test_mixture(spark):
     for source, share in (("a", 5 / 9), ("b", 4 / 9)):
         assert abs(sum(r.tokens * r.uses for r in got if r.source == source) / total - share) < 0.02
     why = {r.source: r for r in report.collect()}
+    assert why["b"].reason == "limits the total" and why["a"].reason is None and why["a"].share_of_present == 0.555556 and why["gone"].share_of_present is None
     assert why["gone"].reason == "absent" and why["zero"].mixed_tokens == 0 and why["b"].most_uses == 3
     again = mixture(documents.repartition(5), targets)[0].collect()
     assert {(r.doc_id, r.source, r.uses) for r in again} == {(r.doc_id, r.source, r.uses) for r in got}

@@ -27,6 +27,12 @@ def test_quotas():
     assert quotas(10, [1, 1], [30, 10], [50, 50]) == [8, 2]
 
 
+def test_a_small_minimum_is_not_lost_to_larger_ones():
+    got = quotas(50, [0.1, 0.1, 0.8, 0.1], [1, 1, 400, 300], [700, 60, 500, 500])
+    assert sum(got) == 50 and got[0] == got[1] == 1
+    assert quotas(2, [1, 1, 1], [5, 5, 1], [9, 9, 9]) in ([1, 1, 0], [1, 0, 1], [0, 1, 1])
+
+
 def test_positions_against_sorting(spark):
     rows = [(i, i % 2, i % 7) for i in range(500)]
     got = positions(spark.createDataFrame(rows, "id long, g long, w long"), ["g"], "id", __import__("pyspark.sql.functions", fromlist=["col"]).col("w"), 3).collect()
