@@ -529,22 +529,33 @@ def train(texts: int = TRAINING_TEXTS, seed: int = SEED, rounds: int = 6, rate:
     for (token, features), keep in zip(batch.marks, kept):
         if keep:
             rows.setdefault(token, []).extend(base_marks + mark_numbers.setdefault(f, len(mark_numbers)) for f in features)
-    most = max(map(len, rows.values()), default=1)
-    marked = np.full((batch.size, most), -1)
-    for token, ids in rows.items():
-        marked[token, : len(ids)] = ids
-    columns.append(marked[real])
-    ids = np.concatenate(columns, axis=1)
-    present, ids_compact, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    ids_compact = ids_compact.reshape(ids.shape)
-    rare = counts < 3  # features seen once or twice teach nothing for other texts
-    rare[present < 0] = True
-    compact = np.cumsum(~rare) * ~rare  # 0 for none
-    ids_compact = compact[ids_compact]
-    total = int(compact.max()) + 1
-    sure = int(compact[: np.searchsorted(present, base_marks)].max()) + 1  # features of marks come after all others
-    sizes_of = (ids_compact > 0).sum(axis=1)  # features of a token, one after the other
-    flat_of, start_of = ids_compact[ids_compact > 0], np.concatenate([[0], np.cumsum((ids_compact > 0).sum(axis=1))])
+    columns = [c.astype(np.int32) for c in columns]
+
+    def ids_of(part: slice) -> np.ndarray:
+        """Numbers of the features of some tokens, filled up with -1."""
+        found = [rows.get(token, ()) for token in real[part].tolist()]
+        marked = np.full((len(found), max(map(len, found), default=0)), -1, dtype=np.int32)
+        for k, ids in enumerate(found):
+            marked[k, : len(ids)] = ids
+        return np.concatenate([*(c[part] for c in columns), marked], axis=1)
+
+    # features seen once or twice teach nothing for other texts; the others are numbered from 1 on, those of marks last
+    parts = [slice(at, at + 10_000) for at in range(0, len(real), 10_000)]
+    counts = np.zeros(base_marks + len(mark_numbers) + 1, dtype=np.int64)
+    for part in parts:
+        counts += np.bincount(ids_of(part).ravel() + 1, minlength=len(counts))
+    often = counts[1:] >= 3
+    compact = (np.cumsum(often) * often).astype(np.int32)
+    total, sure = int(compact.max()) + 1, int(compact[:base_marks].max()) + 1
+    flat_of, sizes_of = [], []
+    for part in parts:
+        ids = ids_of(part)
+        ids = np.where(ids >= 0, compact[ids], 0)
+        sizes_of.append((ids > 0).sum(axis=1))
+        flat_of.append(ids[ids > 0])
+    flat_of, sizes_of = np.concatenate(flat_of), np.concatenate(sizes_of)  # features of a token, one after the other
+    start_of = np.concatenate([[0], np.cumsum(sizes_of)])
+    del columns
 
     count = len(LABELS)
     place = np.full(batch.size, -1)
@@ -598,7 +609,7 @@ def train(texts: int = TRAINING_TEXTS, seed: int = SEED, rounds: int = 6, rate:
                 for w, total_ in zip((weights, skip, free), sums):
                     total_ += w
     weights, skip, free = (t / max(steps, 1) for t in sums)
-    unpack = {int(p): weights[c] for p, c in zip(present.tolist(), compact.tolist()) if c}
+    unpack = {n: weights[compact[n]] for n in np.flatnonzero(compact).tolist()}
     own, near = {}, [{} for _ in NEAR]
     for key, n in numbers.items():
         if n in unpack:
