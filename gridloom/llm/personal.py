@@ -45,7 +45,9 @@ TRAINING_TEXTS = 8000
 SEED = 11
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: messages have converged when no marginal of a tied token moves further than this; a document that does not get there ends after MOST_ROUNDS
-CONVERGED, MOST_ROUNDS, DAMPING = 1e-3, 60, 0.5
+CONVERGED, MOST_ROUNDS, DAMPING = 5e-3, 60, 0.25
+#: steps along a chain between two scalings; a step of a field like this one shrinks a sum by some powers of ten at most
+SCALED_EACH = 6
 FORBIDDEN = -25.0
 #: potential of a person's label at the name of a known application, which is no person
 KNOWN_NAME = -12.0
@@ -78,22 +80,38 @@ PHONE = r"(?<![\w.+/-])(?:(?:\+|00)\d{1,3}[ .-]?)?(?:\(\d{1,5}\)[ .-]?)?\d(?:[\d
 _EMAIL, _IDNO, _PHONE = re.compile(EMAIL, re.I), re.compile(IDNO, re.I), re.compile(PHONE)
 _STREETS = {k: re.compile(v, re.I) for k, v in STREETS.items()}
 _AT_HINT = re.compile(r"[@＠]|[\[({]\s?(?:at|arroba|ät)\s?[\])}]|\s(?:at|arroba)\s[\w-]+(?:\s?[\[({]\s?|\s)(?:dot|punkt|point|punto)", re.I)
-_GERMAN_HINT = re.compile(rf"(?:{_KINDS_DE}|\b(?:am|im|zum|zur|an\sder|auf\sde[rm])\s[^\W\d_]+)\s\d", re.I)
+_NUMBER_AFTER = re.compile(r"(?<=[^\W\d_])\s\d|(?<=\.)\s\d")
+_GERMAN_ENDS = tuple(re.findall(r"[^\W_]+\.?", _KINDS_DE.replace("(?:", "").replace("\\.", ".")))
+_GERMAN_BEFORE = {"am", "im", "zum", "zur", "der", "dem"}
 _STREET_HINT = re.compile(r"str(?:eet|aße|asse|\.)|r(?:oa)?d\b|ave(?:nue|nida|\b)|lane\b|ln\b|c(?:lose|ourt|t|rescent|alle|arrera|amino|hemin|ours)\b|dr(?:ive)?\b|w(?:ay|eg|alk)\b|pla(?:ce|tz|za)|square|terrace|b(?:oulevard|lvd|d)\b|hill|g(?:ardens|rove|asse)|r(?:ow|ue|ing|onda|oute)\b|mews|parade|qua[iy]|st\b|allée|allee|impasse|passage|ufer|damm|anger|markt|c/|avda|av\.|pza|paseo|travesía|[ao][mnfru][mr]?\s|[路街巷弄道同]", re.I)
 
 
+def near_hints(pattern: re.Pattern, text: str, places: list[int], before: int, after: int) -> set[tuple[int, int]]:
+    """Matches of a pattern that begin near places where one may be."""
+    return {m.span() for at in places for m in pattern.finditer(text, max(0, at - before), min(len(text), at + after))}
+
+
+def german_places(text: str) -> list[int]:
+    """Where a number stands behind a word that may end the name of a German street."""
+    found = []
+    for m in _NUMBER_AFTER.finditer(text):
+        head = text[max(0, m.start() - 40) : m.start()].lower()
+        if head.endswith(_GERMAN_ENDS) or (words := head.split()[-2:-1]) and words[0] in _GERMAN_BEFORE:
+            found.append(m.start())
+    return found
+
+
 def forms_in(text: str) -> list[tuple[str, str, int, int]]:
     """(kind, which form of it, start, end) of the strings that have the form of an address, number or street."""
     found = []
-    if _AT_HINT.search(text):
-        found += [("email", "", *m.span()) for m in _EMAIL.finditer(text) if m[0].rsplit(".", 1)[-1].lower() not in FILES]
+    if places := [m.start() for m in _AT_HINT.finditer(text)]:
+        found += [("email", "", *span) for span in sorted(near_hints(_EMAIL, text, places, 120, 300)) if text[slice(*span)].rsplit(".", 1)[-1].lower() not in FILES]
     found += [("idno", "", *m.span()) for m in _IDNO.finditer(text)]
     found += [("phone", "", *m.span()) for m in _PHONE.finditer(text)]
     if _STREET_HINT.search(text):
         for form, pattern in _STREETS.items():
-            if form == "de" and not _GERMAN_HINT.search(text):
-                continue
-            found += [("street", form, *m.span()) for m in pattern.finditer(text)]
+            spans = sorted(near_hints(pattern, text, german_places(text), 100, 30)) if form == "de" else [m.span() for m in pattern.finditer(text)]
+            found += [("street", form, *span) for span in spans]
     return found
 
 
@@ -199,7 +217,7 @@ class Types:
         for title in titles:
             if title:
                 self.titles.setdefault(title[0], []).append(title)
-        self.opens = [False]
+        self.folded, self.opens = [""], [False]
         ends = Counter(t[-1] for t in set(titles) if len(t) > 1)
         self.nouns = {word for word, n in ends.items() if n > 1}  # what several applications are called
         self.noun = [False]
@@ -217,8 +235,10 @@ class Types:
                 at = len(self.pieces)
                 cls = class_of(piece, self.known)
                 self.pieces.append(piece)
-                self.opens.append(folded(piece) in self.titles)
-                self.noun.append(folded(piece) in self.nouns)
+                bare = piece.lower() if piece.isascii() else folded(piece)
+                self.folded.append(bare)
+                self.opens.append(bare in self.titles)
+                self.noun.append(bare in self.nouns)
                 self.classes.append(CLASS_ID[cls])
                 # Words are tied to their repetitions unless they are frequent in lower case, as names are not.
                 tied = len(piece) > 2 and cls.split(":")[0] in ("given", "both", "family", "proper", "rare", "mixed")
@@ -227,6 +247,16 @@ class Types:
         return at
 
 
+LISTED = {place: ("listed", f"listed:{place}") for place in "SBIE"}
+
+
+@lru_cache(maxsize=None)  # as many as pairs of classes
+def noun_marks(cls: int, before: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Features of a noun of applications and of the token before it."""
+    cls, before = CLASSES[cls], CLASSES[before]
+    return ("noun", f"noun:{cls}", f"noun:{cls}:{before}"), (f"noun:before:{cls}", f"noun:before:{cls}:{before}")
+
+
 class Batch:
     """The tokens of some texts in one row, three pads between texts."""
 
@@ -258,16 +288,16 @@ class Batch:
             setattr(self, name, getattr(self, name)[:at])
         self.classes = np.array(types.classes, dtype=np.int64)[self.types]
         self.real = self.types > 0
-        self.marks: list[tuple[int, list[str]]] = []
+        self.marks: list[tuple[int, tuple[str, ...]]] = []
         self.known_names: list[int] = []  # tokens of listed applications
         self.matches = [0]  # the mark at which each match begins
         opens = np.array(types.opens)[self.types]
         for i in np.flatnonzero(opens).tolist():
-            for title in types.titles[folded(types.pieces[self.types[i]])]:
-                if all(folded(types.pieces[self.types[i + d]]) == t for d, t in enumerate(title)):
+            for title in types.titles[types.folded[self.types[i]]]:
+                if all(types.folded[self.types[i + d]] == t for d, t in enumerate(title)):
                     self.listed(i, i + len(title) - 1)
         for i in np.flatnonzero(np.array(types.noun)[self.types]).tolist():
-            self.noun(i, CLASSES[self.classes[i]])
+            self.noun(i)
         ties = np.array(types.ties, dtype=np.int64)[self.types]
         nodes = np.flatnonzero(ties >= 0)
         doc = np.searchsorted(self.first, nodes, side="right") - 1
@@ -294,14 +324,13 @@ class Batch:
     def listed(self, a: int, b: int) -> None:
         """Marks the name of a known application."""
         self.known_names += range(a, b + 1)
-        self.marks += [(i, ["listed", f"listed:{'S' if a == b else 'B' if i == a else 'E' if i == b else 'I'}"]) for i in range(a, b + 1)]
-        self.marks += [(a - 1, ["listed:next"]), (b + 1, ["listed:before"])]
+        self.marks += [(i, LISTED["S" if a == b else "B" if i == a else "E" if i == b else "I"]) for i in range(a, b + 1)]
+        self.marks += [(a - 1, ("listed:next",)), (b + 1, ("listed:before",))]
         self.matches.append(len(self.marks))
 
-    def noun(self, i: int, cls: str) -> None:
+    def noun(self, i: int) -> None:
         """Marks a word that several applications are called by."""
-        before = CLASSES[self.classes[i - 1]]
-        self.marks += [(i, ["noun", f"noun:{cls}", f"noun:{cls}:{before}"]), (i - 1, [f"noun:before:{cls}", f"noun:before:{cls}:{before}"])]
+        self.marks += zip((i, i - 1), noun_marks(int(self.classes[i]), int(self.classes[i - 1])))
         self.matches.append(len(self.marks))
 
     def mark(self, kind: str, form: str, a: int, b: int, text: str, types: Types) -> None:
@@ -310,20 +339,20 @@ class Batch:
         for i in range(a, b + 1):
             place = "S" if a == b else "B" if i == a else "E" if i == b else "I"
             if form == "zh":
-                self.marks.append((i, [f"{name}:{b - i}"]))
+                self.marks.append((i, (f"{name}:{b - i}",)))
             else:
-                self.marks.append((i, [f"{name}:{place}", f"{name}:{place}:{CLASSES[self.classes[i]]}"]))
+                self.marks.append((i, (f"{name}:{place}", f"{name}:{place}:{CLASSES[self.classes[i]]}")))
         if kind in ("idno", "phone"):
             lengths = re.sub(r"[^\W\d_]", "a", re.sub(r"\d+", lambda m: str(len(m[0])), text))
             count = sum(c.isdigit() for c in text)
             head = re.sub(r"[^0-9+]", "", text)[:2]
             context = [f"{name}:before{d}={word(a - d)}" for d in (1, 2, 3)] + [f"{name}:after={word(b + 1)}", f"{name}:around={CLASSES[self.classes[a - 1]]}{CLASSES[self.classes[b + 1]]}"]
             bag = {word(i) for i in range(max(a - 7, 0), a) if CLASSES[self.classes[i]][0] not in "d,.-'@/()"} - SMALL
-            self.marks.append((a, [f"{name}:bag={w}" for w in sorted(bag)] + [f"{name}:stem={w[:5]}" for w in sorted(bag) if len(w) > 5]))
-            self.marks.append((a, [f"{name}:lengths={lengths}", f"{name}:digits={count}", f"{name}:head={head}", f"{name}:head={head[:1]}:digits={count}", f"{name}:gap={self.gap[b + 1]}", *context]))
+            self.marks += [(a, (f"{name}:bag={w}", f"{name}:stem={w[:5]}") if len(w) > 5 else (f"{name}:bag={w}",)) for w in sorted(bag)]
+            self.marks.append((a, (f"{name}:lengths={lengths}", f"{name}:digits={count}", f"{name}:head={head}", f"{name}:head={head[:1]}:digits={count}", f"{name}:gap={self.gap[b + 1]}", *context)))
         elif kind == "street":
-            self.marks.append((a, [f"{name}:last={word(b)}", f"{name}:known={'known' in CLASSES[self.classes[a + 1]]}", f"{name}:after={word(b + 1)}"]))
-            self.marks.append((a, [f"{name}:inner={CLASSES[self.classes[i]]}" for i in range(a + 1, b)]))
+            self.marks.append((a, (f"{name}:last={word(b)}", f"{name}:known={'known' in CLASSES[self.classes[a + 1]]}", f"{name}:after={word(b + 1)}")))
+            self.marks += [(a, (f"{name}:inner={CLASSES[self.classes[i]]}",)) for i in range(a + 1, b)]
         self.matches.append(len(self.marks))
 
 
@@ -354,7 +383,8 @@ def chain_sums(scores: np.ndarray, first: np.ndarray, length: np.ndarray, chain:
         n = alive[t]
         at = starts[:n] + t
         state = (state[:n] @ move) * potential[at]
-        state /= state.sum(axis=1, keepdims=True)
+        if t % SCALED_EACH == 0:
+            state /= state.sum(axis=1, keepdims=True)
         forward[at] = state
     back = np.ones((0, potential.shape[1]))
     for t in range(steps - 2, -1, -1):
@@ -363,7 +393,8 @@ def chain_sums(scores: np.ndarray, first: np.ndarray, length: np.ndarray, chain:
         if len(back) < n:
             back = np.concatenate([back, np.ones((n - len(back), potential.shape[1]))])
         back = (potential[at] * back) @ move.T
-        back /= back.sum(axis=1, keepdims=True)
+        if t % SCALED_EACH == 0:
+            back /= back.sum(axis=1, keepdims=True)
         backward[at - 1] = back
     return forward, backward, potential
 
@@ -482,7 +513,7 @@ def train(texts: int = TRAINING_TEXTS, seed: int = SEED, rounds: int = 6, rate:
                 batch.listed(int(inside[0]), int(inside[-1]))
             for i in inside.tolist():
                 if draw.random() < 0.7 and types.pieces[batch.types[i]].title() in nouns:
-                    batch.noun(i, CLASSES[batch.classes[i]])
+                    batch.noun(i)
     # unlisted by draw: the token's class becomes that of a rare word of its case
     hidden = np.array([CLASS_ID["rare:" + c.split(":")[1]] if c.split(":")[0] in ("given", "both", "family", "proper") else i for i, c in enumerate(CLASSES)])
     drop = draw.random(batch.size) < 0.3
@@ -610,10 +641,12 @@ def train(texts: int = TRAINING_TEXTS, seed: int = SEED, rounds: int = 6, rate:
                     total_ += w
     weights, skip, free = (t / max(steps, 1) for t in sums)
     unpack = {n: weights[compact[n]] for n in np.flatnonzero(compact).tolist()}
-    own, near = {}, [{} for _ in NEAR]
+    own, near = {}, {}
     for key, n in numbers.items():
-        if n in unpack:
-            (own if key[0] == "own" else near[NEAR.index(key[1])])[key[-1]] = unpack[n]
+        if n in unpack and key[0] == "own":
+            own[key[1]] = unpack[n]
+        elif n in unpack:
+            near.setdefault(key[2], np.zeros((len(NEAR), count)))[NEAR.index(key[1])] = unpack[n]
     tables, base = [], len(numbers)
     for size in sizes:
         table = np.zeros((size, count), dtype=np.float32)
@@ -682,11 +715,9 @@ class Finder:
                 for f in own_features(piece, cls):
                     if (w := self.field.own.get(f)) is not None:
                         self.own[type_] += w
-            features = near_features(piece, cls)
-            for d, table in enumerate(self.field.near):
-                for f in features:
-                    if (w := table.get(f)) is not None:
-                        self.near[d, type_] += w
+            for f in near_features(piece, cls):
+                if (w := self.field.near.get(f)) is not None:
+                    self.near[:, type_] += w
         self.weighed = size
 
     def scores(self, batch: Batch) -> np.ndarray:
@@ -702,10 +733,12 @@ class Finder:
             if (w := self.field.pairs.get(pieces[pair >> 32] + pieces[pair & 0xFFFFFFFF])) is not None:
                 out[token] += w[0]
                 out[token - 1] += w[1]
-        for token, features in batch.marks:
-            for f in features:
-                if (w := self.field.marks.get(f)) is not None:
-                    out[token] += w
+        if batch.marks:
+            known, none = self.field.marks, np.zeros(len(LABELS))
+            numbers: dict[tuple[str, ...], int] = {}
+            which = np.array([numbers.setdefault(features, len(numbers)) for _, features in batch.marks])
+            sums = np.stack([sum((known[f] for f in features if f in known), none) for features in numbers])
+            np.add.at(out, np.array([token for token, _ in batch.marks]), sums[which])
         out[batch.known_names, 1:3] += KNOWN_NAME
         return out
 
