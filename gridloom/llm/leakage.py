@@ -50,6 +50,8 @@ PASSAGES_A_TASK = 1024
 #: one of so many lists of the index is looked through for a passage, and at least LEAST_LISTS
 LISTS_SHARE, LEAST_LISTS = 6, 6
 PIECES_A_SUM = 1024
+#: terms that are searched at once; longer documents are taken in overlapping parts of PIECES_A_PART runs
+TERMS_A_SEARCH, PIECES_A_PART = 40_000, 3000
 LCS_SHARE = 0.75
 ANSWER_TERMS = 2
 SEED = 7
@@ -379,14 +381,12 @@ class Searcher:
                 part += self.space[np.where(term < 0, none, term)]
         return out
 
-    def search(self, sequences: list[tuple[int, str | None, np.ndarray]]) -> dict[tuple[int, int], list]:
-        """(document, item) -> [kind, share, cosine] of documents given as (row, letters or None for words, terms)."""
-        found: dict[tuple[int, int], list] = {}
+    def search(self, sequences: list[tuple[int, str | None, np.ndarray]], found: dict[tuple[int, int], list]) -> None:
+        """Adds (document, item) -> [kind, share, cosine] of documents given as (row, letters or None for words, terms)."""
         for of_letters in (False, True):
             chosen = [(row, letters, self.place[np.minimum(ids, len(self.place) - 1)]) for row, letters, ids in sequences if (letters is not None) == of_letters]
             if chosen and self.lists[of_letters] is not None:
                 self._search(chosen, of_letters, found)
-        return found
 
     def _search(self, chosen: list[tuple[int, str | None, np.ndarray]], of_letters: bool, found: dict) -> None:
         size = LETTERS_RUN if of_letters else WORDS_RUN
@@ -513,6 +513,28 @@ def run_codes(ids: np.ndarray, size: int) -> np.ndarray:
     return (out >> np.uint64(1)).astype(np.int64)
 
 
+def parts_of(row: int, letters: str | None, ids: np.ndarray) -> Iterator[tuple[int, str | None, np.ndarray]]:
+    """A document as (row, letters or None for words, terms), a long one in parts that overlap by a passage, so that each passage lies whole in one."""
+    size, more = (WORDS_RUN, 0) if letters is None else (LETTERS_RUN, LETTER_GRAM - 1)
+    step = PIECES_A_PART * size
+    for at in range(0, max(len(ids) - size, 0) + 1, step):
+        end = at + step + 2 * size
+        yield row, None if letters is None else letters[at : end + more], ids[at:end]
+
+
+def at_once(sequences: list[tuple[int, str | None, np.ndarray]]) -> Iterator[list[tuple[int, str | None, np.ndarray]]]:
+    """The sequences in lists of at most TERMS_A_SEARCH terms, or of one."""
+    chosen, terms = [], 0
+    for sequence in sequences:
+        if chosen and terms + len(sequence[2]) > TERMS_A_SEARCH:
+            yield chosen
+            chosen, terms = [], 0
+        chosen.append(sequence)
+        terms += len(sequence[2])
+    if chosen:
+        yield chosen
+
+
 def search_batches(batches: Iterator[pd.DataFrame], read: Reader, searchers: list[Callable[[], Searcher]]) -> Iterator[pd.DataFrame]:
     """The pairs of each batch of documents, taken through the blocks one after the other; one block is in memory at a time."""
     loaded, searcher = None, None
@@ -521,16 +543,18 @@ def search_batches(batches: Iterator[pd.DataFrame], read: Reader, searchers: lis
         for row, text in enumerate(batch["text"]):
             words, letters = read(text)
             if len(words) >= WORDS_RUN:
-                sequences.append((row, None, read.numbers(words)))
+                sequences += parts_of(row, None, read.numbers(words))
             if len(letters) >= LETTERS_RUN:
-                sequences.append((row, letters, read.numbers(grams_of(letters))))
+                sequences += parts_of(row, letters, read.numbers(grams_of(letters)))
         ids = batch["doc_id"].tolist()
         for k, get in enumerate(searchers):
             if loaded != k:
                 searcher = None
                 loaded, searcher = k, get()
                 searcher.prepare()
-            found = searcher.search(sequences)
+            found: dict[tuple[int, int], list] = {}
+            for part in at_once(sequences):
+                searcher.search(part, found)
             yield pd.DataFrame([(ids[row], item, *best) for (row, item), best in found.items()], columns=["doc_id", "item_id", "kind", "lcs_share", "cosine"])
 
 

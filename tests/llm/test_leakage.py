@@ -70,6 +70,8 @@ def brute(docs, items):
 
 def test_found_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(leakage, "PIECES_A_SUM", 7)
+    monkeypatch.setattr(leakage, "PIECES_A_PART", 3)
+    monkeypatch.setattr(leakage, "TERMS_A_SEARCH", 50)
     docs = corpus()
     items = [(1, ITEM, "en"), (1, ITEM, "en"), (2, CHINESE, "zh"), (3, None, "en"), (4, "too short", None), (5, "", "zh"), (6, ITEM.split(". ")[0] + " again and again", None)]
     documents = spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, item_id string")
