@@ -55,6 +55,21 @@ def match_greedy(edges: DataFrame, keys: list[str]) -> DataFrame:
     return _fold(edges, keys, [F.col("gt_ord"), -F.col("iou"), F.col("pred_ord")], F.col("gt_ord").cast("int"), F.col("pred_ord").cast("int"))
 
 
+def matched_counts(edges: DataFrame, keys: list[str], thresholds: tuple[float, ...]) -> DataFrame:
+    """(keys, threshold, matched): how many pairs match_greedy makes at each threshold; the edges of a key meet once for all of them."""
+    kind = "struct<g:array<int>,p:array<int>>"
+    start = F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("p"))
+
+    def step(state: Column, e: Column) -> Column:
+        busy = F.array_contains(state["g"], e["g"]) | F.array_contains(state["p"], e["p"])
+        return F.when(busy, state).otherwise(F.struct(F.array_append(state["g"], e["g"]).alias("g"), F.array_append(state["p"], e["p"]).alias("p"))).cast(kind)
+
+    fields = F.struct(F.col("gt_ord").cast("int").alias("g"), (-F.col("iou")).alias("k"), F.col("pred_ord").cast("int").alias("p"))
+    lists = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(fields)).alias("_edges"))
+    counts = F.transform(F.array(*map(F.lit, thresholds)), lambda t: F.struct(t.alias("threshold"), F.size(F.aggregate(F.filter("_edges", lambda e: -e["k"] >= t), start, step)["g"]).cast("long").alias("matched")))
+    return lists.select(*keys, F.inline(counts)).filter("matched > 0")
+
+
 def match_coco(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Detections by rank take annotated boxes: real ones before ignored ones, then by overlap, the later one of equals.
 
