@@ -111,15 +111,20 @@ def coco_name_key(name: Column) -> Column:
     return F.replace(F.lower(name), F.lit("_"), F.lit(" "))
 
 
+# The prompts that the models were trained on, by kind; {x} is the subject.
 PROMPTS = {
-    "detect": "Locate all instances of the categories {x}.",
-    "single": "Locate one instance of {x}.",
-    "multi": "Locate every instance of {x}.",
-    "text": "Read all text in the image.",
-    "gui_box": "Locate the region of the element: {x}",
-    "point": "Point to {x}",
-    "phrase": "Find the text {x}",
+    "detect": "Locate all the instances that matches the following description: {x}.",
+    "visual": "Detect all the objects in the image that belong to the category set: <visual_prompt>.",
+    "single": "Locate a single instance that matches the following description: {x}.",
+    "multi": "Locate all the instances that match the following description: {x}.",
+    "phrase": "Please locate the text referred as {x}.",
+    "text": "Detect all the text in box format.",
+    "gui_box": "Locate the region that matches the following description: {x}.",
+    "gui_point": "Point to: {x}.",
+    "point": "Point to: {x}.",
 }
+#: what stands between the categories of a detection prompt
+CATEGORY_BREAK = "</c>"
 
 
 def build_prompt(kind: Column, subject: Column) -> Column:
@@ -130,6 +135,25 @@ def build_prompt(kind: Column, subject: Column) -> Column:
     return out
 
 
+def detection_prompt(categories: Column) -> Column:
+    """The detection prompt of a list of categories."""
+    return build_prompt(F.lit("detect"), F.array_join(categories, CATEGORY_BREAK))
+
+
+def to_messages(turns: Column, images: Column) -> Column:
+    """Turns as messages: a role and parts of type text or image. A user's placeholders <image-n> add the n-th image; numbers without an image add nothing."""
+    part = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("value"))
+
+    def message(turn: Column) -> Column:
+        numbers = F.regexp_extract_all(turn["value"], F.lit(r"<image-(\d+)>"), F.lit(1))
+        media = F.filter(F.transform(numbers, lambda n: F.try_element_at(images, F.when(n.try_cast("int") > 0, n.try_cast("int")))), lambda x: x.isNotNull())
+        human = turn["from"] == "human"
+        own = F.array(part("text", turn["value"]))
+        return F.struct(F.when(human, "user").otherwise("assistant").alias("role"), F.when(human, F.concat(own, F.transform(media, lambda x: part("image", x)))).otherwise(own).alias("content"))
+
+    return F.transform(turns, message)
+
+
 def build_answer(label: Column, boxes: Column) -> Column:
     """One label and all its boxes, or none; a label that is blank or holds a tag sign raises."""
     bad = (F.trim(label) == "") | label.rlike("[<>]")

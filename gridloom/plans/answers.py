@@ -135,7 +135,41 @@ def p13_build_prompt(spark, folder):
     return answers(spark, folder).select("record_id", P.build_prompt(kind, F.coalesce("defect_type", F.lit("?"))).alias("prompt"))
 
 
-P13 = ANSWERS + "SELECT record_id, replace([" + ", ".join("'" + t + "'" for t in P.PROMPTS.values()) + f"][record_id % {len(P.PROMPTS)} + 1], '{{x}}', coalesce(defect_type, '?')) AS prompt FROM a"
+P13 = ANSWERS + """SELECT record_id, CASE record_id % 9
+  WHEN 0 THEN 'Locate all the instances that matches the following description: ' || d || '.'
+  WHEN 1 THEN 'Detect all the objects in the image that belong to the category set: <visual_prompt>.'
+  WHEN 2 THEN 'Locate a single instance that matches the following description: ' || d || '.'
+  WHEN 3 THEN 'Locate all the instances that match the following description: ' || d || '.'
+  WHEN 4 THEN 'Please locate the text referred as ' || d || '.'
+  WHEN 5 THEN 'Detect all the text in box format.'
+  WHEN 6 THEN 'Locate the region that matches the following description: ' || d || '.'
+  ELSE 'Point to: ' || d || '.' END AS prompt FROM (SELECT record_id, coalesce(defect_type, '?') AS d FROM a)"""
+
+
+def p13_detection_prompt(spark, folder):
+    """The detection prompt of all labels of a task."""
+    labels = table(spark, folder, "label_targets").groupBy("task").agg(F.array_sort(F.collect_set("expected_label")).alias("labels"))
+    return labels.select("task", P.detection_prompt(F.col("labels")).alias("prompt"))
+
+
+P13_DETECTION = "SELECT task, 'Locate all the instances that matches the following description: ' || string_agg(DISTINCT expected_label, '</c>' ORDER BY expected_label) || '.' AS prompt FROM label_targets GROUP BY task"
+
+
+def p16_to_messages(spark, folder):
+    """Messages of records whose turns name their image, and one that there is not."""
+    rows = table(spark, folder, "annotations").filter("conversations is not null and size(conversations) > 0")
+    turns = F.transform("conversations", lambda t: F.struct(t["speaker"].alias("from"), F.concat(F.coalesce(t["value"], F.lit("")), F.lit(" <image-1> <image-7>")).alias("value")))
+    images = F.when(F.col("image").isNotNull(), F.array("image")).otherwise(F.coalesce("image_list", F.array().cast("array<string>")))
+    messages = P.to_messages(turns, images)
+    summed = F.transform(messages, lambda m: F.concat_ws(":", m["role"], F.array_join(m["content"]["type"], ","), F.array_join(F.slice(m["content"]["value"], 2, 9), ",")))
+    return rows.select("record_id", F.array_join(summed, "|").alias("messages")).groupBy("record_id").agg(F.min("messages").alias("messages"))
+
+
+P16 = """WITH r AS (SELECT record_id, conversations, CASE WHEN image IS NOT NULL THEN [image] ELSE coalesce(image_list, []) END AS images FROM annotations WHERE len(conversations) > 0),
+m AS (SELECT record_id, list_transform(conversations, lambda t: {'who': t.speaker, 'media':
+  list_filter(list_transform(regexp_extract_all(coalesce(t.value, '') || ' <image-1> <image-7>', '<image-([0-9]+)>', 1), lambda n: images[n::INT]), lambda x: x IS NOT NULL)}) AS parts FROM r)
+SELECT record_id, min(array_to_string(list_transform(parts, lambda p: CASE WHEN p.who = 'human' THEN 'user:' || array_to_string(list_concat(['text'], list_transform(p.media, lambda x: 'image')), ',') || ':' || array_to_string(p.media, ',')
+  ELSE 'assistant:text:' END), '|')) AS messages FROM m GROUP BY record_id"""
 
 
 def p14_build_answer(spark, folder):
@@ -216,7 +250,7 @@ C19 = ANSWERS + f"SELECT record_id, list_sort({_REPAIR}) AS boxes FROM a"
 
 _SQL = {
     "p1_parse_ref_boxes": P1, "p2_parse_ref_boxes_only": P2, "p3_parse_plain": P3, "p4_parse_answer_repair": P4, "p5_identify_task": P5, "p6_is_positive": P6, "p7_conversation_text": P7, "p8_extract_targets": P8, "p9_declared_count": P9, "p10_normalize_categories": P10,
-    "p11_normalize_category_name": P11, "p12_coco_name_key": P12, "p13_build_prompt": P13, "p14_build_answer": P14, "p15_media_placeholders": P15, "p17_chat_template": P17, "p19_thinking_markers": P19, "p21_replace_prompt": P21, "p22_data_source": P22,
+    "p11_normalize_category_name": P11, "p12_coco_name_key": P12, "p13_build_prompt": P13, "p13_detection_prompt": P13_DETECTION, "p16_to_messages": P16, "p14_build_answer": P14, "p15_media_placeholders": P15, "p17_chat_template": P17, "p19_thinking_markers": P19, "p21_replace_prompt": P21, "p22_data_source": P22,
     "p23_output_stem": P23, "f8_validate_sample": F8, "c19_sort_boxes": C19,
 }
 #: in the catalogue of queries the grammar's names begin with grammar_, as pN_ is taken by the pipeline's problems

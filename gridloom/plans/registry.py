@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.plans import answers, boxes, detection, files, rejects, samples, scalars, tokens
+from gridloom.plans import answers, boxes, detection, exchange, files, rejects, samples, scalars, tokens
 
-MODULES = (boxes, detection, scalars, answers, samples, tokens, files, rejects)
+MODULES = (boxes, detection, scalars, answers, samples, tokens, files, exchange, rejects)
 
 
 def queries() -> dict:

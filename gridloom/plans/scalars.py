@@ -157,20 +157,32 @@ _OKS = """, o AS (SELECT image_id, ord, CASE WHEN ord % 2 = 1 THEN exp(-((ord %
 G21 = _ROW + _OKS + " SELECT image_id, ord, round(oks, 9) AS oks FROM o"
 
 
+def _best_oks(spark, folder) -> DataFrame:
+    """(image_id, ord, best): of every annotated instance the best similarity to any predicted instance of its image."""
+    rows = _rows(spark, folder)
+    gt = rows.select("image_id", "ord", F.create_map(F.lit("a"), F.array("x1", "y1"), F.lit("b"), F.array("x2", "y2")).alias("gt"), G.area(_box()).alias("size"))
+    near = F.create_map(F.lit("a"), F.array(F.col("x1") + F.expr("ord % 3"), F.col("y1")), F.lit("b"), F.array(F.col("x2"), F.col("y2") + 2))
+    pred = rows.select("image_id", F.when(F.expr("ord % 2 = 1"), F.map_filter(near, lambda k, _: k == "a")).otherwise(near).alias("pred"))
+    return gt.join(pred, "image_id").groupBy("image_id", "ord").agg(F.max(G.oks(F.col("gt"), F.col("pred"), F.col("size"))).alias("best"))
+
+
 def a5_keypoint_ap(spark, folder):
-    """Per image the share of instances whose best similarity reaches each threshold."""
-    rows = g21_oks(spark, folder)
-    return rows.groupBy("image_id").agg(*[F.round(F.avg((F.col("oks") >= t).cast("int")), 9).alias(f"ap{int(t * 100)}") for t in (0.5, 0.75, 0.9, 0.95)])
+    """Per image the share of instances whose best similarity reaches each threshold, and the mean of the best similarities."""
+    best = _best_oks(spark, folder)
+    reached = [F.round(F.avg((F.round("best", 9) >= t).cast("int")), 9).alias(f"ap{int(t * 100)}") for t in (0.5, 0.75, 0.9, 0.95)]
+    return best.groupBy("image_id").agg(*reached, F.round(F.avg("best"), 9).alias("mean_oks"))
 
 
-A5 = _ROW + _OKS + " SELECT image_id, " + ", ".join(f"round(avg((round(oks, 9) >= {t})::INT), 9) AS ap{int(t * 100)}" for t in (0.5, 0.75, 0.9, 0.95)) + " FROM o GROUP BY image_id"
+_BEST = """, pairs AS (SELECT g.image_id, g.ord, p.ord AS q, ((p.x1 + p.ord % 3 - g.x1) ** 2 + (p.y1 - g.y1) ** 2) AS da, ((p.x2 - g.x2) ** 2 + (p.y2 + 2 - g.y2) ** 2) AS db, 0.00125 * (g.x2 - g.x1) * (g.y2 - g.y1) AS s FROM b g JOIN b p USING (image_id)),
+best AS (SELECT image_id, ord, max(CASE WHEN q % 2 = 1 THEN exp(-da / s) ELSE (exp(-da / s) + exp(-db / s)) / 2 END) AS best FROM pairs GROUP BY ALL)"""
+A5 = _ROW + _BEST + " SELECT image_id, " + ", ".join(f"round(avg((round(best, 9) >= {t})::INT), 9) AS ap{int(t * 100)}" for t in (0.5, 0.75, 0.9, 0.95)) + ", round(avg(best), 9) AS mean_oks FROM best GROUP BY image_id"
 
 
 def m4_best_oks(spark, folder):
-    return g21_oks(spark, folder).groupBy("image_id").agg(F.max("oks").alias("best"))
+    return _best_oks(spark, folder).select("image_id", "ord", F.round("best", 9).alias("best"))
 
 
-M4 = _ROW + _OKS + " SELECT image_id, max(round(oks, 9)) AS best FROM o GROUP BY image_id"
+M4 = _ROW + _BEST + " SELECT image_id, ord, round(best, 9) AS best FROM best"
 
 
 def g22_coarse_box(spark, folder):

@@ -113,17 +113,60 @@ s AS (SELECT vec_id, row_number() OVER w AS rank, coalesce(sum(x) OVER (w ROWS B
 SELECT vec_id, count(*) FILTER (rank <= 10) AS top_k, count(*) FILTER (round(before, 9) < 0.5) AS nucleus FROM s GROUP BY vec_id"""
 
 
-def t10_decode_topk(spark, folder):
-    """The best coordinate token (those above 20) among the five best tokens, and whether several are near."""
-    order = W.partitionBy("vec_id").orderBy(F.col("logit").desc(), "token")
-    top = logits(spark, folder).withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
-    coord = F.when(F.col("token") > 20, F.col("token"))
-    return top.groupBy("vec_id").agg(F.min_by(coord, F.when(coord.isNotNull(), F.col("rank"))).alias("coord"), ((F.count(coord) > 1) & (F.max(coord) - F.min(coord) > 30)).alias("abnormal"))
+# The shares at which a frame of six tokens is a box, an empty box or none, and when a coordinate is not sure.
+START_SHARE, END_SHARE, NONE_SHARE, CLOSE_SHARE, NULL_SHARE, SURE_SHARE, WIDEST, KEPT = 0.7, 0.2, 0.2, 0.2, 0.1, 0.9, 60, 5
+#: tokens of the test logits
+BOX_START, BOX_END, NONE, NULL, IM_END, COORD_START, COORD_END = 0, 2, 4, 6, 8, 20, 126
+
+
+def _frames(spark, folder):
+    """(frame, place, token, share): six vectors in a row are the logits of a frame, sharpened, with a lift of the first and last token in some frames."""
+    rows = logits(spark, folder).select(F.expr("vec_id div 6").alias("frame"), F.expr("vec_id % 6").alias("place"), (F.col("token") * 2).alias("token"), (F.col("logit") * 8).alias("logit"))
+    lift = (
+        F.when((F.col("place") == 0) & (F.col("token") == BOX_START) & F.expr("frame % 2 = 0"), 9.0)
+        .when((F.col("place") == 5) & (F.col("token") == BOX_END) & F.expr("frame % 3 > 0"), 5.0)
+        .when((F.col("place") == 1) & (F.col("token") == NONE) & F.expr("frame % 4 = 0"), 6.0)
+        .when((F.col("place") == 2) & (F.col("token") == BOX_END) & F.expr("frame % 4 = 0"), 6.0)
+        .when(F.col("place").isin(3, 4) & (F.col("token") == NULL) & F.expr("frame % 8 = 0"), 6.0)
+        .otherwise(0.0)
+    )
+    lifted = rows.withColumn("logit", F.col("logit") + lift)
+    whole = F.sum(F.exp("logit")).over(W.partitionBy("frame", "place"))
+    return lifted.select("frame", "place", "token", F.round(F.exp("logit") / whole, 9).alias("share"))
 
 
-T10 = f"""WITH {LOGITS}, r AS (SELECT vec_id, token FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, token) AS rank FROM l) WHERE rank <= 5),
-k AS (SELECT r.vec_id, r.token, row_number() OVER (PARTITION BY r.vec_id ORDER BY l.logit DESC, r.token) AS rank FROM r JOIN l USING (vec_id, token))
-SELECT vec_id, arg_min(token, rank) FILTER (token > 20) AS coord, count(*) FILTER (token > 20) > 1 AND coalesce(max(token) FILTER (token > 20) - min(token) FILTER (token > 20) > 30, false) AS abnormal FROM k GROUP BY vec_id"""
+def t10_decode_topk(spark, folder):
+    """Each frame as a box with its four coordinates, an empty box, or nothing.
+
+    A sure start followed by none, an end and nulls is an empty box; else enough mass on an end makes it a box. A coordinate is the first
+    coordinate token among the five likeliest, 0 where it is not sure and the candidates lie far apart; a place without one spoils the box.
+    """
+    shares = _frames(spark, folder)
+    at = lambda place, *tokens: F.coalesce(F.sum(F.when((F.col("place") == place) & F.col("token").isin(*tokens), F.col("share"))), F.lit(0.0))
+    frames = shares.groupBy("frame").agg(
+        ((at(0, BOX_START) >= START_SHARE) & (at(1, NONE) > NONE_SHARE) & (at(2, BOX_END) > CLOSE_SHARE) & (at(3, NULL) > NULL_SHARE) & (at(4, NULL) > NULL_SHARE)).alias("empty"),
+        (F.round(at(5, BOX_END, NULL, IM_END), 8) >= END_SHARE).alias("legal"),
+    )
+    top = shares.filter("place between 1 and 4").withColumn("rank", F.row_number().over(W.partitionBy("frame", "place").orderBy(F.col("share").desc(), "token"))).filter(F.col("rank") <= KEPT)
+    coord = F.col("token").between(COORD_START, COORD_END)
+    places = top.filter(coord).groupBy("frame", "place").agg(F.min_by("token", "rank").alias("token"), F.min_by("share", "rank").alias("share"), F.count("*").alias("n"), (F.max("token") - F.min("token")).alias("spread"))
+    unsure = (F.col("share") < SURE_SHARE) & (F.col("n") > 1) & (F.col("spread") > WIDEST)
+    coords = places.withColumn("value", F.when(unsure, 0).otherwise(F.col("token"))).groupBy("frame").agg(F.count("*").alias("found"), F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("values"))
+    box = F.coalesce(F.col("legal") & (F.col("found") == 4), F.lit(False))
+    kind = F.when(F.col("empty"), "empty").when(box, "box").otherwise("nothing")
+    return frames.join(coords, "frame", "left").select("frame", kind.alias("kind"), F.when(kind == "box", F.array_join(F.col("values").cast("array<string>"), " ")).alias("coords"))
+
+
+T10 = f"""WITH {LOGITS}, r AS (SELECT vec_id // 6 AS frame, vec_id % 6 AS place, token * 2 AS token, logit * 8 AS logit FROM l),
+f AS (SELECT frame, place, token, logit + CASE WHEN place = 0 AND token = 0 AND frame % 2 = 0 THEN 9.0 WHEN place = 5 AND token = 2 AND frame % 3 > 0 THEN 5.0 WHEN place = 1 AND token = 4 AND frame % 4 = 0 THEN 6.0
+  WHEN place = 2 AND token = 2 AND frame % 4 = 0 THEN 6.0 WHEN place IN (3, 4) AND token = 6 AND frame % 8 = 0 THEN 6.0 ELSE 0.0 END::DOUBLE AS logit FROM r),
+s AS (SELECT frame, place, token, round(exp(logit) / sum(exp(logit)) OVER (PARTITION BY frame, place), 9) AS share FROM f),
+frames AS (SELECT frame, coalesce(sum(share) FILTER (place = 0 AND token = 0), 0) >= 0.7 AND coalesce(sum(share) FILTER (place = 1 AND token = 4), 0) > 0.2 AND coalesce(sum(share) FILTER (place = 2 AND token = 2), 0) > 0.2
+  AND coalesce(sum(share) FILTER (place = 3 AND token = 6), 0) > 0.1 AND coalesce(sum(share) FILTER (place = 4 AND token = 6), 0) > 0.1 AS empty, round(coalesce(sum(share) FILTER (place = 5 AND token IN (2, 6, 8)), 0), 8) >= 0.2 AS legal FROM s GROUP BY frame),
+top AS (SELECT *, row_number() OVER (PARTITION BY frame, place ORDER BY share DESC, token) AS rank FROM s WHERE place BETWEEN 1 AND 4 QUALIFY rank <= 5),
+places AS (SELECT frame, place, arg_min(token, rank) AS token, arg_min(share, rank) AS share, count(*) AS n, max(token) - min(token) AS spread FROM top WHERE token BETWEEN 20 AND 126 GROUP BY ALL),
+coords AS (SELECT frame, count(*) AS found, string_agg(CASE WHEN share < 0.9 AND n > 1 AND spread > 60 THEN 0 ELSE token END::VARCHAR, ' ' ORDER BY place) AS v FROM places GROUP BY frame)
+SELECT frame, CASE WHEN empty THEN 'empty' WHEN legal AND found = 4 THEN 'box' ELSE 'nothing' END AS kind, CASE WHEN NOT empty AND legal AND found = 4 THEN v END AS coords FROM frames LEFT JOIN coords USING (frame)"""
 
 
 def t11_focal_weights(spark, folder):

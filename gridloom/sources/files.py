@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import struct
 import uuid
 import warnings
@@ -180,23 +179,11 @@ def keyframes(content: bytes) -> list[int]:
 
 
 def scan_images(spark: SparkSession, path: str) -> DataFrame:
-    """(path, width, height, sha256) of image files; sizes are null where the header is unknown."""
-
-    @F.pandas_udf("struct<width:int,height:int>")
-    def sizes(content: pd.Series) -> pd.DataFrame:
-        found = [image_size(c) or (None, None) for c in content]
-        return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
-
-    rows = spark.read.format("binaryFile").load(path)
-    return rows.select("path", sizes("content").alias("s"), F.sha2("content", 256).alias("sha256")).select("path", "s.width", "s.height", "sha256")
+    return image_columns(spark.read.format("binaryFile").load(path))
 
 
 def scan_keyframes(spark: SparkSession, path: str) -> DataFrame:
-    @F.pandas_udf("array<int>")
-    def of(content: pd.Series) -> pd.Series:
-        return pd.Series([keyframes(c) for c in content])
-
-    return spark.read.format("binaryFile").load(path).select("path", of("content").alias("keyframes"))
+    return keyframe_columns(spark.read.format("binaryFile").load(path))
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -211,17 +198,50 @@ def write_partitioned(df: DataFrame, path: str, by: tuple[str, ...] = ("task", "
     df.write.mode("overwrite").partitionBy(*by).json(path)
 
 
-def write_document(document: dict, path: str) -> None:
-    """A small JSON document on the driver's file system, put in place whole."""
-    part = f"{path}.{uuid.uuid4().hex}"
-    with open(part, "w", encoding="utf-8") as f:
-        json.dump(document, f, ensure_ascii=False, indent=2)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(part, path)
+def write_document(document: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small JSON document put in place whole: written beside its place on any file system that Spark knows, then renamed."""
+    spark = spark or SparkSession.getActiveSession()
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    part, whole = hadoop(f"{path}.{uuid.uuid4().hex}"), hadoop(path)
+    files = whole.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(part)
+    out.write(bytearray(json.dumps(document, ensure_ascii=False, indent=2).encode()))
+    out.hsync()
+    out.close()
+    if not files.rename(part, whole):  # some file systems do not rename onto a file
+        files.delete(whole, False)
+        files.rename(part, whole)
 
 
 def write_recipe(recipe: DataFrame, path: str) -> None:
     """A recipe file from its table, which is a small dimension."""
     rows = bounded(recipe.orderBy("dataset"), 100_000, "data sets")
-    write_document({r.dataset: {k: v for k, v in r.asDict().items() if k != "dataset" and v is not None} for r in rows}, path)
+    write_document({r.dataset: {k: v for k, v in r.asDict().items() if k != "dataset" and v is not None} for r in rows}, path, recipe.sparkSession)
+
+
+def write_det_json(boxes: DataFrame, path: str, shards: int = 16) -> None:
+    """Detections as JSON lists, one file a shard, from rows of image_id, category_id, bbox and score; a shard's list is made by its images, so shards bound its length."""
+    item = F.to_json(F.struct("image_id", "category_id", "bbox", "score"))
+    lists = boxes.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(shards)).alias("shard")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value"))
+    lists.write.mode("overwrite").partitionBy("shard").text(path)
+
+
+def image_columns(files: DataFrame) -> DataFrame:
+    """(path, width, height, sha256) of rows with the path and content of image files; sizes are null where the header is unknown."""
+
+    @F.pandas_udf("struct<width:int,height:int>")
+    def sizes(content: pd.Series) -> pd.DataFrame:
+        found = [(image_size(c) if c is not None else None) or (None, None) for c in content]
+        return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
+
+    return files.select("path", sizes("content").alias("s"), F.sha2("content", 256).alias("sha256")).select("path", "s.width", "s.height", "sha256")
+
+
+def keyframe_columns(files: DataFrame) -> DataFrame:
+    """(path, keyframes) of rows with the path and content of video files."""
+
+    @F.pandas_udf("array<int>")
+    def of(content: pd.Series) -> pd.Series:
+        return pd.Series([keyframes(c) if c is not None else None for c in content])
+
+    return files.select("path", of("content").alias("keyframes"))
