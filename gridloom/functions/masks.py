@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+MASKS_A_BATCH = 2000
+
 def encode(mask: np.ndarray) -> list[int]:
     """Run lengths of a 0/1 array in column order, beginning with zeros."""
     flat = np.asarray(mask, dtype=np.uint8).ravel(order="F")
@@ -101,6 +103,34 @@ def iou(a, b, crowd: bool = False) -> float:
     return shared / whole if whole else 0.0
 
 
+def _marked(masks: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends of all runs within their mask, the first run of each mask, pixels of each mask)"""
+    lengths = np.fromiter(map(len, masks), dtype=np.int64, count=len(masks))
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    reach = np.concatenate([[0], np.cumsum(np.concatenate(masks).astype(np.int64))])
+    before = reach[first[:-1]]
+    return reach[1:] - np.repeat(before, lengths), first, reach[first[1:]] - before
+
+
+def iou_batch(a: list, b: list, crowd: np.ndarray) -> np.ndarray:
+    """iou of many pairs of masks at once: all runs are merged in one sorted line, on which each pair has a stretch of its own."""
+    if not a:
+        return np.zeros(0)
+    (ends_a, first_a, pixels_a), (ends_b, first_b, pixels_b) = _marked(a), _marked(b)
+    step = int(max(pixels_a.max(), pixels_b.max())) + 1
+    ends_a += np.repeat(np.arange(len(a)) * step, np.diff(first_a))
+    ends_b += np.repeat(np.arange(len(b)) * step, np.diff(first_b))
+    edges = np.unique(np.concatenate([np.arange(len(a)) * step, ends_a, ends_b]))
+    left, size = edges[:-1], np.diff(edges)
+    pair = left // step
+    on = lambda ends, first: (np.searchsorted(ends, left, side="right") - first[pair]) % 2 == 1
+    inside = left - pair * step < pixels_a[pair]
+    on_a, on_b = on(ends_a, first_a) & inside, on(ends_b, first_b) & inside
+    total = lambda chosen: np.bincount(pair[chosen], weights=size[chosen], minlength=len(a))
+    shared, whole = total(on_a & on_b), np.where(crowd, total(on_a), total(on_a | on_b))
+    return np.where(pixels_a != pixels_b, -1.0, np.where(whole > 0, shared / np.where(whole > 0, whole, 1), 0.0))
+
+
 def holds_point(runs, height: int, width: int, x: float, y: float) -> bool:
     column, row = int(x), int(y)
     if not (0 <= column < width and 0 <= row < height):
@@ -141,7 +171,12 @@ def convex_iou(a, b) -> float:
 def iou_rle(a: Column, b: Column, crowd: Column) -> Column:
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else iou(p, q, bool(k)) for p, q, k in zip(x, y, c)], dtype="float64")
+        known = np.flatnonzero((x.notna() & y.notna()).to_numpy())
+        out = np.full(len(x), np.nan)
+        for at in range(0, len(known), MASKS_A_BATCH):
+            rows = known[at : at + MASKS_A_BATCH]
+            out[rows] = iou_batch(x.iloc[rows].tolist(), y.iloc[rows].tolist(), c.iloc[rows].fillna(False).to_numpy(dtype=bool))
+        return pd.Series(out).where(~np.isnan(out), None)
 
     return run(a, b, crowd)
 
@@ -160,11 +195,15 @@ def rle_area(runs: Column) -> Column:
 
 
 def box_to_rle(x1: Column, y1: Column, x2: Column, y2: Column, height: int, width: int) -> Column:
-    @F.pandas_udf("array<int>")
-    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        return pd.Series([box_runs(int(p), int(q), int(r), int(s), height, width) for p, q, r, s in zip(a, b, c, d)])
-
-    return run(x1, y1, x2, y2)
+    """Run lengths of a filled box, column by column, without leaving the JVM; a box without pixels gives one empty run."""
+    whole = height * width
+    left, right = F.greatest(x1.cast("int"), F.lit(0)), F.least(x2.cast("int"), F.lit(width))
+    top, bottom = F.greatest(y1.cast("int"), F.lit(0)), F.least(y2.cast("int"), F.lit(height))
+    rows = bottom - top
+    between = F.flatten(F.array_repeat(F.array(rows, height - rows), right - left - 1))
+    runs = F.concat(F.array(left * height + top), between, F.array(rows, whole - ((right - 1) * height + bottom)))
+    full = F.array(left * height, (right - left) * height, whole - right * height)
+    return F.when((right <= left) | (bottom <= top), F.array(F.lit(whole))).when(rows == height, full).otherwise(runs)
 
 
 def mask_holds_point(runs: Column, x: Column, y: Column, height: int, width: int) -> Column:

@@ -1,6 +1,7 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from gridloom.functions import masks as R
 
@@ -49,3 +50,20 @@ def test_polygons():
     assert R.convex_iou(square, square) == 1 and R.convex_iou(square, [1, 1, 3, 1, 3, 3, 1, 3]) == 1 / 7
     assert R.convex_iou(square, square[::-1]) == 1 and R.convex_iou(square, [0, 0, 1, 1]) == 0 and R.convex_iou(square, [5, 5, 6, 5, 6, 6]) == 0
     assert np.isclose(R.convex_iou(square, [0, 0, 2, 0, 0, 2]), 0.5)
+
+
+def test_many_pairs_at_once_are_as_one_by_one(spark):
+    rng = np.random.default_rng(5)
+
+    def mask():
+        cuts = np.sort(rng.choice(121, rng.integers(1, 9), replace=False))
+        return np.diff(np.concatenate([[0], cuts, [120]])).tolist()
+
+    a, b, crowd = [mask() for _ in range(300)] + [[5, 5]], [mask() for _ in range(300)] + [[120]], rng.random(301) < 0.3
+    want = [R.iou(x, y, c) for x, y, c in zip(a, b, crowd)]
+    assert np.allclose(R.iou_batch(a, b, crowd), want) and len(R.iou_batch([], [], np.zeros(0, bool))) == 0
+    rows = [(*rng.integers(-3, 14, 2).tolist(), *rng.integers(0, 16, 2).tolist()) for _ in range(200)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int").select("*", R.box_to_rle(F.col("a"), F.col("b"), F.col("c"), F.col("d"), 10, 12).alias("runs"))
+    assert all(r.runs == R.box_runs(r.a, r.b, r.c, r.d, 10, 12) for r in df.collect())
+    some = spark.createDataFrame([(a[0], b[0], False), (None, b[0], True), (a[1], b[1], None)], "a array<int>, b array<int>, c boolean").select(R.iou_rle(F.col("a"), F.col("b"), F.col("c")).alias("v")).collect()
+    assert [r.v is None for r in some] == [False, True, False]
