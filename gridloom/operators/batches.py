@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,19 +14,27 @@ from pyspark.sql import Window as W
 def next_fit(rows: DataFrame, groups: list[str], order: str, length: str, capacity: int) -> DataFrame:
     """(groups, order, batch): samples in order go into the current batch while they fit, else a new one begins.
 
-    A fold over the sorted samples of a worker; a worker's stream is bounded by its shard.
+    The samples of a worker run through one task in order; only the batch at hand is kept, so a stream may be as long as it likes.
     """
-    fields = F.struct(F.col(order).alias("o"), F.col(length).cast("long").alias("n"))
-    kind = "struct<batch:int,used:bigint,out:array<struct<o:bigint,batch:int>>>"
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<o:bigint,batch:int>>").alias("out"))
-
-    def step(s, e):
-        fits = (s["used"] + e["n"] <= capacity) | (s["used"] == 0)
-        batch = F.when(fits, s["batch"]).otherwise(s["batch"] + 1)
-        return F.struct(batch.alias("batch"), F.when(fits, s["used"] + e["n"]).otherwise(e["n"]).alias("used"), F.array_append(s["out"], F.struct(e["o"].alias("o"), batch.alias("batch"))).alias("out")).cast(kind)
-
-    lists = rows.filter(F.col(length) <= capacity).groupBy(*groups).agg(F.array_sort(F.collect_list(fields)).alias("_stream"))
-    return lists.select(*groups, F.explode(F.aggregate("_stream", start, step)["out"]).alias("_placed")).select(*groups, F.col("_placed.o").alias(order), F.col("_placed.batch").alias("batch"))
+    stream = rows.filter(F.col(length) <= capacity).select(*groups, order, F.col(length).cast("long").alias("_length"))
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*groups, order)) + ", batch int"
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker, batch, used = None, 0, 0
+        for part in batches:
+            out = []
+            for *key, n in zip(*(part[g] for g in groups), part["_length"]):
+                key = [None if k != k else k for k in key]
+                if key != worker:
+                    worker, batch, used = key, 0, 0
+                if used and used + n > capacity:
+                    batch, used = batch + 1, 0
+                used += n
+                out.append(batch)
+            yield part[[*groups, order]].assign(batch=out)
+
+    return stream.repartition(*groups).sortWithinPartitions(*groups, order, "_length").mapInPandas(place, schema)
 
 
 def pack_pad(batches: DataFrame, groups: list[str], order: str, length: str, limit: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from gridloom.functions.geometry import stable_fraction
 from gridloom.operators.layout import cut, small
+from gridloom.operators.ranks import fraction_positions
 
 EPOCH_STEP = 999_983
 
@@ -19,13 +20,16 @@ def _key(column: str) -> Column:
 def epoch_shuffle(rows: DataFrame, groups: list[str], key: str, seed: int, epoch: int) -> DataFrame:
     """Adds position, from 0, of a row in the order of its group in an epoch."""
     fraction = stable_fraction(_key(key), F.lit(seed + epoch * EPOCH_STEP))
-    return rows.withColumn("position", F.row_number().over(W.partitionBy(*groups).orderBy(fraction, key)) - 1)
+    return fraction_positions(rows, groups, fraction, key)
 
 
 def downsample(rows: DataFrame, groups: list[str], key: str, ratio: Column, seed: int = 10086) -> DataFrame:
     """Keeps floor(n * ratio) rows of each group with a ratio below 1, all others whole."""
-    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy(*groups).orderBy(stable_fraction(_key(key), F.lit(seed)), key))).withColumn("_n", F.count("*").over(W.partitionBy(*groups)))
-    return ranked.filter((ratio >= 1) | (F.col("_rank") <= F.floor(F.col("_n") * ratio))).drop("_rank", "_n")
+    ranked = fraction_positions(rows, groups, stable_fraction(_key(key), F.lit(seed)), key, "_rank")
+    sizes = rows.groupBy(*[F.col(g).alias(f"_k{i}") for i, g in enumerate(groups)]).agg(F.count("*").alias("_n"))
+    same = [F.col(g).eqNullSafe(F.col(f"_k{i}")) for i, g in enumerate(groups)]
+    kept = ranked.join(sizes, same).filter((ratio >= 1) | (F.col("_rank") < F.floor(F.col("_n") * ratio)))
+    return kept.drop("_rank", "_n", *[f"_k{i}" for i in range(len(groups))])
 
 
 def dataset_weights(counts: DataFrame, ratio: Column) -> DataFrame:
@@ -49,7 +53,7 @@ def weighted_draw(weights: DataFrame, draws: DataFrame, seed: int) -> DataFrame:
 def weighted_shuffle(rows: DataFrame, groups: list[str], key: str, weight: Column, seed: int) -> DataFrame:
     """Adds position by rising u ** (1 / weight), so that small weights tend to come first."""
     value = F.pow(stable_fraction(_key(key), F.lit(seed)), 1 / weight)
-    return rows.withColumn("position", F.row_number().over(W.partitionBy(*groups).orderBy(value, key)) - 1)
+    return fraction_positions(rows, groups, value, key)
 
 
 def balance_classes(rows: DataFrame, task: str, positive: Column, key: str, n: int, ratio: float, seed: int) -> DataFrame:
@@ -58,7 +62,7 @@ def balance_classes(rows: DataFrame, task: str, positive: Column, key: str, n: i
     A bucket with enough rows gives each at most once, in hash order; a smaller one is repeated.
     """
     want = max(1, _half_even(n / (1 + ratio)))
-    ranked = rows.withColumn("_positive", positive).withColumn("_rank", F.row_number().over(W.partitionBy(task, "_positive").orderBy(stable_fraction(_key(key), F.lit(seed)), key)) - 1)
+    ranked = fraction_positions(rows.withColumn("_positive", positive), [task, "_positive"], stable_fraction(_key(key), F.lit(seed)), key, "_rank")
     sizes = ranked.groupBy(task, "_positive").agg(F.count("*").alias("_n"))
     slots = sizes.withColumn("slot", F.explode(F.sequence(F.lit(0), F.when(F.col("_positive"), F.lit(want)).otherwise(F.lit(n - want)) - 1)))
     filled = slots.withColumn("_rank", F.pmod("slot", "_n").cast("int"))

@@ -166,25 +166,22 @@ SELECT (position % 7)::INT AS rank, position // 7 AS step, doc_id FROM q"""
 
 
 def c17_pack_pad(spark, folder):
-    """Samples of a worker laid end to end; those over the limit are dropped, the rest of the space is padding.
-
-    A single container for each worker, as its SQL twin has it; every batch of the stream: c17_pack_pad_batches.
-    """
-    order = W.partitionBy("worker").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)
-    rows = _workers(spark, folder).withColumn("end", F.sum("n").over(order)).filter("end <= 4096")
-    return rows.groupBy("worker").agg(F.count("*").alias("samples"), (4096 - F.max("end")).alias("padding"))
-
-
-C17 = f"WITH {DOCS}, r AS (SELECT source || '-' || (doc_id % 64) AS worker, sum(n) OVER (PARTITION BY source || '-' || (doc_id % 64) ORDER BY doc_id)::BIGINT AS hi FROM d) SELECT worker, count(*) AS samples, 4096 - max(hi) AS padding FROM r WHERE hi <= 4096 GROUP BY worker"
-
-
-def c17_pack_pad_batches(spark, folder):
-    """Every batch of every worker's stream padded; a document longer than a batch gets one of its own."""
+    """Every batch of every worker's stream laid end to end and padded; a document longer than a batch gets one of its own."""
     rows = _workers(spark, folder)
     batches = K.next_fit(rows.withColumn("n", F.least("n", F.lit(2048))), ["worker"], "doc_id", "n", 2048)
     return K.pack_pad(batches.join(rows, ["worker", "doc_id"]), ["worker", "batch"], "doc_id", "n", 4096)
 
 
+C17 = f"""WITH RECURSIVE {DOCS}, r AS (SELECT source || '-' || (doc_id % 64) AS worker, doc_id, n AS whole, least(n, 2048) AS n, row_number() OVER (PARTITION BY source || '-' || (doc_id % 64) ORDER BY doc_id) AS k FROM d),
+w(worker, k, doc_id, whole, used, batch) AS (
+  SELECT worker, k, doc_id, whole, n, 0 FROM r WHERE k = 1
+  UNION ALL
+  SELECT r.worker, r.k, r.doc_id, r.whole, CASE WHEN w.used + r.n <= 2048 OR w.used = 0 THEN w.used + r.n ELSE r.n END, CASE WHEN w.used + r.n <= 2048 OR w.used = 0 THEN w.batch ELSE w.batch + 1 END
+  FROM w JOIN r ON r.worker = w.worker AND r.k = w.k + 1),
+e AS (SELECT worker, batch, sum(whole) OVER o AS hi, row_number() OVER o = 1 AS first FROM w WINDOW o AS (PARTITION BY worker, batch ORDER BY doc_id))
+SELECT worker, batch, count(*) FILTER (hi <= 4096 OR first) AS samples, count(*) FILTER (hi > 4096 AND NOT first) AS dropped, greatest(0, 4096 - max(hi) FILTER (hi <= 4096 OR first))::BIGINT AS padding FROM e GROUP BY worker, batch"""
+
+
 def c18_packed_validate(spark, folder):
     """Batches whose samples exceed the limit or that hold no sample with text."""
     packed = c12_pack_stream(spark, folder).join(docs(spark, folder), "doc_id")
@@ -214,5 +211,5 @@ _SQL = {
     "c1_epoch_shuffle": C1, "c2_downsample": C2, "c3_dataset_weights": C3, "c4_weighted_draw": C4, "c5_weighted_shuffle": C5, "c6_balance_classes": C6, "c7_even_interleave": C7, "c8_rotating_round_robin": C8, "c9_reservoir_pick": C9, "c10_random_resize": C10,
     "c11_retry_next": C11, "c12_pack_stream": C12, "c15_rank_shard": C15, "c17_pack_pad": C17, "c18_packed_validate": C18, "a24_pack_efficiency": A24, "c22_limit": C22,
 }
-QUERIES = {name: globals()[name] for name in _SQL} | {"c12b_pack_best_fit": c12b_pack_best_fit, "c13_pack_heap": c13_pack_heap, "c14_length_groups": c14_length_groups, "c17_pack_pad_batches": c17_pack_pad_batches}
+QUERIES = {name: globals()[name] for name in _SQL} | {"c12b_pack_best_fit": c12b_pack_best_fit, "c13_pack_heap": c13_pack_heap, "c14_length_groups": c14_length_groups}
 SQL = dict(_SQL)

@@ -221,6 +221,12 @@ G24 = _ROW + "SELECT image_id, ord, round(CASE WHEN p + r > 0 THEN 2 * p * r / (
 FRACTION = "('0x' || substr(sha256({seed} || ':' || {text}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 
 
+def g25_digest_fraction(spark, folder):
+    """The share of each image path by its short digest, and the split that a tenth for validation makes of it."""
+    fraction = G.digest_fraction(F.col("image"), 10086)
+    return table(spark, folder, "images").select("image_id", "image", fraction.alias("fraction")).withColumn("split", F.when(F.col("fraction") < 0.1, "val").when(F.col("fraction").isNotNull(), "train"))
+
+
 def g25_stable_fraction(spark, folder):
     return table(spark, folder, "images").select("image_id", G.stable_fraction(F.col("image"), F.lit(42)).alias("fraction"))
 
@@ -414,16 +420,12 @@ def _range_lookup(spark, folder, wanted):
 
 
 def j10_range_lookup(spark, folder):
-    """Every third row number, as its SQL twin has it; all of them: j10_range_lookup_all."""
-    return _range_lookup(spark, folder, table(spark, folder, "images").selectExpr("image_id as row").filter("row % 3 = 0"))
-
-
-def j10_range_lookup_all(spark, folder):
+    """The data set and row in it of every global row number."""
     return _range_lookup(spark, folder, table(spark, folder, "images").selectExpr("image_id as row"))
 
 
 J10 = """WITH s AS (SELECT dataset, count(*) AS n FROM annotations WHERE dataset IS NOT NULL GROUP BY dataset), e AS (SELECT *, sum(n) OVER (ORDER BY dataset) AS hi FROM s)
-SELECT image_id AS row, dataset, (image_id - (hi - n))::BIGINT AS local_row FROM images JOIN e ON image_id >= hi - n AND image_id < hi WHERE image_id % 3 = 0"""
+SELECT image_id AS row, dataset, (image_id - (hi - n))::BIGINT AS local_row FROM images JOIN e ON image_id >= hi - n AND image_id < hi"""
 
 
 def j11_grouped_fetch(spark, folder):
@@ -470,5 +472,5 @@ _SQL = {
     "f5_negative_downsample": F5, "f7_skip_names": F7, "f1_score_threshold": F1, "f10_wrong_rejection": F10, "f4_max_tokens": F4, "log_p24_kv_parse": P24, "a21_log_stats": A21, "a25_throughput": A25, "a22_prep_stats": A22, "a23_run_summary": A23, "a18_positive_mean": A18,
     "j1_equi_lookup": J1, "j2_left_join_fallback": J2, "j5_resume_anti_join": J5, "j7_category_intersection": J7, "j8_threshold_grid": J8, "j9_asof_lookup": J9, "j10_range_lookup": J10, "j11_grouped_fetch": J11, "u1_first_writer_wins": U1, "u2_ordered_distinct": U2, "u3_last_wins": U3,
 }
-QUERIES = {name: globals()[{"log_p24_kv_parse": "p24_kv_log_parse"}.get(name, name)] for name in _SQL} | {"j10_range_lookup_all": j10_range_lookup_all}
+QUERIES = {name: globals()[{"log_p24_kv_parse": "p24_kv_log_parse"}.get(name, name)] for name in _SQL} | {"g25_digest_fraction": g25_digest_fraction}
 SQL = dict(_SQL)

@@ -20,7 +20,7 @@ def test_pack_pad(spark):
 
 
 def test_every_document_is_in_a_padded_batch(spark):
-    got = samples.QUERIES["c17_pack_pad_batches"](spark, FOLDER).collect()
+    got = samples.QUERIES["c17_pack_pad"](spark, FOLDER).collect()
     streams, expected = {}, {}
     for r in samples._workers(spark, FOLDER).orderBy("doc_id").collect():
         batches = streams.setdefault(r.worker, [[]])
