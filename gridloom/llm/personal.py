@@ -250,11 +250,15 @@ class Types:
 LISTED = {place: ("listed", f"listed:{place}") for place in "SBIE"}
 
 
-@lru_cache(maxsize=None)  # as many as pairs of classes
+_NOUN_MARKS: dict[tuple[int, int], tuple[tuple[str, ...], tuple[str, ...]]] = {}  # kept by pair of classes
+
+
 def noun_marks(cls: int, before: int) -> tuple[tuple[str, ...], tuple[str, ...]]:
     """Features of a noun of applications and of the token before it."""
-    cls, before = CLASSES[cls], CLASSES[before]
-    return ("noun", f"noun:{cls}", f"noun:{cls}:{before}"), (f"noun:before:{cls}", f"noun:before:{cls}:{before}")
+    if (cls, before) not in _NOUN_MARKS:
+        c, b = CLASSES[cls], CLASSES[before]
+        _NOUN_MARKS[cls, before] = ("noun", f"noun:{c}", f"noun:{c}:{b}"), (f"noun:before:{c}", f"noun:before:{c}:{b}")
+    return _NOUN_MARKS[cls, before]
 
 
 class Batch:
