@@ -14,9 +14,10 @@ from gridloom.sources.tables import table
 ALL = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 
 
-def gt_boxes(spark: SparkSession, folder: str) -> DataFrame:
-    """image_id, ord, cat and a box for each line of an order."""
+def gt_boxes(spark: SparkSession, folder: str, ranges: bool = False) -> DataFrame:
+    """image_id, ord, cat and a box for each line of an order; with ranges, partitions hold ranges of image_id, rising within."""
     lines = table(spark, folder, "lineitem")
+    lines = lines.repartitionByRange("l_orderkey") if ranges else lines
     lines = lines.withColumn("ord", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ALL.split(", "))))
     x1, y1 = F.expr("cast(l_partkey % 300 as double)"), F.expr("cast((l_suppkey * 7) % 300 as double)")
     return lines.select(
@@ -26,8 +27,12 @@ def gt_boxes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+PREDICTED = "ord % 6 <> 0"
+PRED = {"x1": "x1 + (ord * 3) % 11", "y1": "y1 + (ord * 5) % 13", "x2": "x2 + (ord * 7) % 17", "y2": "y2 - (ord * 2) % 9", "score": "((ord * 37) % 100) / 100.0D"}
+
+
 def pred_boxes(gt: DataFrame) -> DataFrame:
-    return gt.filter("ord % 6 <> 0").selectExpr("image_id", "ord", "cat", "x1 + (ord * 3) % 11 as x1", "y1 + (ord * 5) % 13 as y1", "x2 + (ord * 7) % 17 as x2", "y2 - (ord * 2) % 9 as y2", "((ord * 37) % 100) / 100.0D as score")
+    return gt.filter(PREDICTED).selectExpr("image_id", "ord", "cat", *[f"{e} as {c}" for c, e in PRED.items()])
 
 
 BOXES = f"""

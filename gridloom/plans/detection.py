@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridloom.functions import geometry as G
-from gridloom.operators import coco
+from gridloom.operators import cells, coco
 from gridloom.operators import matching as M
 from gridloom.operators.layout import cut
-from gridloom.plans.boxes import BOXES, IOU, boxes
+from gridloom.plans.boxes import BOXES, IOU, PRED, PREDICTED, boxes, gt_boxes
 
 KEYS = ["image_id", "cat"]
 SIZE = "(x2 - x1) * (y2 - y1)"
@@ -31,6 +31,16 @@ def _flags(spark, folder) -> tuple[DataFrame, DataFrame]:
     return gt, coco.cell_flags(gt, dets, edges, KEYS)
 
 
+def _cell_rows(spark, folder, lvis: bool = False, curves: bool = True) -> DataFrame:
+    """The sums and curves of all cells; a line gives its annotated box and its detection side by side, so lines are shuffled once."""
+    flags = lambda crowd, ignore: (crowd.alias("crowd"), ignore.alias("ignore"))
+    annotated = F.struct(F.lit(False).alias("detected"), *M.BOX, F.lit(None).cast("double").alias("score"), F.expr("(image_id - 1) * 100 + ord - 1").alias("box_id"), *flags(F.col("crowd"), F.col("ignore")))
+    detection = F.struct(F.lit(True).alias("detected"), *[F.expr(e).alias(c) for c, e in PRED.items()], F.lit(None).cast("bigint").alias("box_id"), *flags(F.lit(False), F.lit(False)))
+    sides = F.inline(F.when(F.expr(PREDICTED), F.array(annotated, detection)).otherwise(F.array(annotated)))
+    open_ = F.expr("image_id % 5 = 0 and cat = 'A'") if lvis else F.lit(False)
+    return cells.cell_rows(gt_boxes(spark, folder, ranges=True).select("image_id", "cat", "ord", open_.alias("open"), sides), curves)
+
+
 def a13_coco_cells(spark, folder):
     """Hits, misses and detections out of account by category, threshold and area range."""
     _, flags = _flags(spark, folder)
@@ -80,7 +90,7 @@ def _scores(gt: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def a14_coco_cell_ap(spark, folder):
     """Average precision by category, threshold and area range."""
-    return _scores(*_flags(spark, folder))[0].select("cat", F.round("threshold", 2).alias("threshold"), "area", F.round("ap", 9).alias("ap"))
+    return cells.cell_precisions(cut(_cell_rows(spark, folder))).select("cat", F.round("threshold", 2).alias("threshold"), "area", F.round("ap", 9).alias("ap"))
 
 
 def _ap(flags: str) -> str:
