@@ -73,13 +73,6 @@ flags AS (
 A13 = _SQL + " SELECT cat, round(threshold, 2) AS threshold, area, count(*) FILTER (hit AND NOT ignored) AS tp, count(*) FILTER (NOT hit AND NOT ignored) AS fp, count(*) FILTER (ignored) AS out FROM flags GROUP BY ALL"
 
 
-def _lvis_flags(spark, folder) -> tuple[DataFrame, DataFrame]:
-    """LVIS rules: a detection that takes no box is out of account where its category is not annotated exhaustively, which is A in every fifth image."""
-    gt, flags = _flags(spark, folder)
-    open_ = F.expr("image_id % 5 = 0 and cat = 'A'")
-    return gt, flags.withColumn("ignored", F.col("ignored") | (~F.col("hit") & open_))
-
-
 LVIS = ", open AS (SELECT * REPLACE (ignored OR (NOT hit AND image_id % 5 = 0 AND cat = 'A') AS ignored) FROM flags)"
 
 
@@ -88,9 +81,14 @@ def _scores(gt: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
     return coco.cell_precisions(flags, positives), coco.cell_recalls(flags, positives)
 
 
+def _cell_scores(spark, folder, lvis: bool = False) -> tuple[DataFrame, DataFrame]:
+    rows = cut(_cell_rows(spark, folder, lvis))
+    return cells.cell_precisions(rows), cells.cell_recalls(rows)
+
+
 def a14_coco_cell_ap(spark, folder):
     """Average precision by category, threshold and area range."""
-    return cells.cell_precisions(cut(_cell_rows(spark, folder))).select("cat", F.round("threshold", 2).alias("threshold"), "area", F.round("ap", 9).alias("ap"))
+    return _cell_scores(spark, folder)[0].select("cat", F.round("threshold", 2).alias("threshold"), "area", F.round("ap", 9).alias("ap"))
 
 
 def _ap(flags: str) -> str:
@@ -136,10 +134,12 @@ A17 = _SQL + _ap("flags") + " " + " UNION ALL ".join([_line(i, n, "ap", w, "cell
 
 
 def a16_lvis_table(spark, folder):
-    """The thirteen lines of the LVIS summary: AP, by threshold, area and frequency of the category, and recall."""
-    gt, flags = _lvis_flags(spark, folder)
+    """The thirteen lines of the LVIS summary: AP, by threshold, area and frequency of the category, and recall.
+
+    LVIS rules: a detection that takes no box is out of account where its category is not annotated exhaustively, which is A in every fifth image.
+    """
     groups = spark.createDataFrame([("R", "r"), ("N", "c"), ("A", "f")], "cat string, frequency string")
-    return coco.standard_table(*_scores(gt, flags), groups=groups)
+    return coco.standard_table(*_cell_scores(spark, folder, lvis=True), groups=groups)
 
 
 _FREQUENCY = "CASE cat WHEN 'R' THEN 'r' WHEN 'N' THEN 'c' ELSE 'f' END"
