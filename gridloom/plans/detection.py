@@ -108,7 +108,7 @@ A14 = _SQL + _ap("flags") + " SELECT cat, round(threshold, 2) AS threshold, area
 
 def a15_coco_table(spark, folder):
     """Per category: AP over ten thresholds, at 0.5, 0.75 and 0.95, by area, and the recall with 1, 10 and 100 detections; -1 where nothing counts."""
-    precisions, recalls = _scores(*_flags(spark, folder))
+    precisions, recalls = _cell_scores(spark, folder)
     whole = F.col("area") == "all"
     mean = lambda when, name: F.round(F.coalesce(F.avg(F.when(when, F.col("ap"))), F.lit(-1.0)), 9).alias(name)
     ap = precisions.groupBy("cat").agg(mean(whole, "ap"), *[mean(whole & (F.col("threshold") == t), f"ap{int(t * 100)}") for t in (0.5, 0.75, 0.95)], *[mean(F.col("area") == a, f"ap_{a}") for a in ("small", "medium", "large")])
