@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -14,16 +14,23 @@ from gridloom.sources.tables import table
 ALL = "l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 
 
-def gt_boxes(spark: SparkSession, folder: str, ranges: bool = False) -> DataFrame:
-    """image_id, ord, cat and a box for each line of an order; with ranges, partitions hold ranges of image_id, rising within."""
-    lines = table(spark, folder, "lineitem")
-    lines = lines.repartitionByRange("l_orderkey") if ranges else lines
-    lines = lines.withColumn("ord", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*ALL.split(", "))))
+def gt_boxes(spark: SparkSession, folder: str, ranges: bool = False, part: Column | None = None) -> DataFrame:
+    """image_id, ord, cat and a box for each line of an order; with ranges, partitions hold ranges of image_id, rising within.
+
+    part, which l_orderkey decides, is a further column, by which the rows are laid out.
+    """
+    lines, keys = table(spark, folder, "lineitem"), ["l_orderkey"]
+    if ranges:
+        lines = lines.repartitionByRange("l_orderkey")
+    elif part is not None:
+        lines, keys = lines.withColumn("part", part).repartition("part"), ["part", "l_orderkey"]
+    lines = lines.withColumn("ord", F.row_number().over(W.partitionBy(*keys).orderBy(*ALL.split(", "))))
     x1, y1 = F.expr("cast(l_partkey % 300 as double)"), F.expr("cast((l_suppkey * 7) % 300 as double)")
     return lines.select(
         F.col("l_orderkey").alias("image_id"), "ord", F.col("l_returnflag").alias("cat"), x1.alias("x1"), y1.alias("y1"),
         (x1 + 60 + F.expr("(l_partkey * 3) % 200")).alias("x2"), (y1 + 60 + F.expr("(l_suppkey * 5) % 200")).alias("y2"),
         F.expr("l_partkey % 17 = 0").alias("crowd"), F.expr("l_suppkey % 11 = 0").alias("ignore"),
+        *keys[:-1],
     )
 
 
@@ -31,8 +38,8 @@ PREDICTED = "ord % 6 <> 0"
 PRED = {"x1": "x1 + (ord * 3) % 11", "y1": "y1 + (ord * 5) % 13", "x2": "x2 + (ord * 7) % 17", "y2": "y2 - (ord * 2) % 9", "score": "((ord * 37) % 100) / 100.0D"}
 
 
-def pred_boxes(gt: DataFrame) -> DataFrame:
-    return gt.filter(PREDICTED).selectExpr("image_id", "ord", "cat", *[f"{e} as {c}" for c, e in PRED.items()])
+def pred_boxes(gt: DataFrame, *kept: str) -> DataFrame:
+    return gt.filter(PREDICTED).selectExpr("image_id", "ord", "cat", *[f"{e} as {c}" for c, e in PRED.items()], *kept)
 
 
 BOXES = f"""

@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.layout import shared_folder
-from gridloom.plans.boxes import BOXES, boxes
+from gridloom.plans.boxes import BOXES, gt_boxes, pred_boxes
 from gridloom.sources import files as S
 from gridloom.sources.tables import table
 
@@ -66,10 +66,10 @@ FROM recipe WHERE len(annotation) > 0"""
 
 def s7_scan_det_json(spark, folder):
     """Detections written as JSON lists and read with a threshold, counted by category."""
-    _, pred = boxes(spark, folder)
+    pred = pred_boxes(gt_boxes(spark, folder, part=S.detection_list(spark, F.col("l_orderkey"))), "part")
     path = _place(spark, "detections")
-    rows = pred.select("image_id", F.expr("case cat when 'R' then 1 when 'N' then 2 else 3 end").alias("category_id"), F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), "score")
-    S.write_det_json(rows, path)
+    rows = pred.select("part", "image_id", F.expr("case cat when 'R' then 1 when 'N' then 2 else 3 end").alias("category_id"), F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), "score")
+    S.write_det_json(rows, path, compression="gzip", by="part")
     return S.scan_det_json(spark, path, 0.3).groupBy("category_id").agg(F.count("*").alias("n"), F.round(F.sum(F.col("bbox")[2]), 3).alias("width"))
 
 

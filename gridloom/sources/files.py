@@ -219,11 +219,21 @@ def write_recipe(recipe: DataFrame, path: str) -> None:
     write_document({r.dataset: {k: v for k, v in r.asDict().items() if k != "dataset" and v is not None} for r in rows}, path, recipe.sparkSession)
 
 
-def write_det_json(boxes: DataFrame, path: str, shards: int = 16) -> None:
-    """Detections as JSON lists, one file a shard, from rows of image_id, category_id, bbox and score; a shard's list is made by its images, so shards bound its length."""
-    item = F.to_json(F.struct("image_id", "category_id", "bbox", "score"))
-    lists = boxes.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(shards)).alias("shard")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("value"))
-    lists.write.mode("overwrite").partitionBy("shard").text(path)
+def detection_list(spark: SparkSession, image: Column, shards: int = 16) -> Column:
+    """The number of the list that an image's detections are written to; lists are four to a partition of a shuffle, as a reader holds a whole one."""
+    parts = -(-4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // shards)
+    return F.pmod(F.xxhash64(image), F.lit(shards * parts))
+
+
+def write_det_json(boxes: DataFrame, path: str, shards: int = 16, compression: str = "none", by: str | None = None) -> None:
+    """Detections as JSON lists, from rows of image_id, category_id, bbox and score: a folder a shard, with a file for each list.
+
+    by names a column that has detection_list already, by which boxes may be laid out, so that they are not shuffled.
+    """
+    number = F.col(by) if by else detection_list(boxes.sparkSession, F.col("image_id"), shards)
+    lists = boxes.groupBy(number.alias("list")).agg(F.to_json(F.collect_list(F.struct("image_id", "category_id", "bbox", "score"))).alias("value"))
+    rows = lists.select((F.col("list") % shards).alias("shard"), "value")
+    rows.write.mode("overwrite").partitionBy("shard").option("maxRecordsPerFile", 1).option("compression", compression).text(path)
 
 
 def image_columns(files: DataFrame) -> DataFrame:

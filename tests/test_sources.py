@@ -63,6 +63,23 @@ def test_detections(spark, tmp_path):
     assert S.parse_det_tsv(spark.read.text(str(tmp_path / "tsv")), names, at_least=0.5, strict=True).count() == 1
 
 
+def test_detection_lists_stay_short(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id % 4000 as image_id", "1 as category_id", "array(0D, 0D, 1D, 1D) as bbox", "id / 20000D as score")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        S.write_det_json(rows, str(tmp_path / "plain"))
+        S.write_det_json(rows, str(tmp_path / "gz"), compression="gzip")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    lists = [json.loads(p.read_text()) for p in (tmp_path / "plain").rglob("*.txt")]
+    assert sum(map(len, lists)) == 20_000 and max(map(len, lists)) < 500  # it was a sixteenth of all, whatever the input
+    assert len({(d["image_id"], i) for i, ds in enumerate(lists) for d in ds}) == 4000
+    want = sorted(r.score for r in rows.collect())
+    for name in ("plain", "gz"):
+        assert sorted(r.score for r in S.scan_det_json(spark, str(tmp_path / name)).collect()) == want
+
+
 def test_shards(spark, tmp_path):
     for name in ("p_10_2.jsonl", "p_2_10.jsonl", "p_2_9.jsonl", "other.jsonl", "x.txt"):
         put(tmp_path / name, name + "\n")
