@@ -76,11 +76,6 @@ A13 = _SQL + " SELECT cat, round(threshold, 2) AS threshold, area, count(*) FILT
 LVIS = ", open AS (SELECT * REPLACE (ignored OR (NOT hit AND image_id % 5 = 0 AND cat = 'A') AS ignored) FROM flags)"
 
 
-def _scores(gt: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    flags, positives = cut(flags), coco.positives_of(gt)
-    return coco.cell_precisions(flags, positives), coco.cell_recalls(flags, positives)
-
-
 def _cell_scores(spark, folder, lvis: bool = False) -> tuple[DataFrame, DataFrame]:
     rows = cut(_cell_rows(spark, folder, lvis))
     return cells.cell_precisions(rows), cells.cell_recalls(rows)
@@ -124,7 +119,7 @@ JOIN (SELECT cat, {', '.join(_FIGURES.format(v='recall', w=f"area = 'all' AND mo
 
 def a17_standard_table(spark, folder):
     """The twelve lines of the COCO summary; a figure without any defined cell is -1."""
-    return coco.standard_table(*_scores(*_flags(spark, folder)))
+    return coco.standard_table(*_cell_scores(spark, folder))
 
 
 _AP_LINES = [("AP", "area = 'all'"), ("AP50", "area = 'all' AND threshold = 0.5"), ("AP75", "area = 'all' AND threshold = 0.75"), ("AP_small", "area = 'small'"), ("AP_medium", "area = 'medium'"), ("AP_large", "area = 'large'")]

@@ -86,7 +86,7 @@ def test_rows_out_of_order_are_an_error(spark, monkeypatch):
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", ["a14_coco_cell_ap", "a16_lvis_table", "a15_coco_table"])
+@pytest.mark.parametrize("name", ["a14_coco_cell_ap", "a16_lvis_table", "a15_coco_table", "a17_standard_table"])
 def test_no_row_by_detection_and_cell_is_kept(spark, monkeypatch, name):
     kept, cut = [], layout.cut
     monkeypatch.setattr("gridloom.plans.detection.cut", lambda df: kept.append(cut(df)) or kept[-1])
