@@ -1,93 +1,14 @@
-"""Detection scores over cells of overlap threshold, area range and number of detections, as COCO and LVIS summarise them.
-
-A detection is a hit in a cell if it takes an annotated box that counts there; it is left out of account if it takes an ignored box,
-or none while its own area is out of range. A box is ignored if it is marked so, is a crowd, or has an area out of range. A box with
-id 0 can be taken but counts as not taken, as in the tools that read an id of 0 as "none".
-"""
+"""Area ranges, numbers of detections and the tables of figures of COCO and LVIS; operators/cells.py makes the scores they sum up."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.operators.metrics import THRESHOLDS, pr_curve
-
 AREAS = (("all", 0.0, 1e10), ("small", 0.0, 32.0**2), ("medium", 32.0**2, 96.0**2), ("large", 96.0**2, 1e10))
 MOST_DETECTIONS = (1, 10, 100)
 
 
-def _cells(thresholds: tuple[float, ...]) -> Column:
-    """The cells of thresholds and areas: a fixed list of a few dozen."""
-    return F.array(*[F.struct(F.lit(t).alias("threshold"), F.lit(name).alias("area"), F.lit(low).alias("low"), F.lit(high).alias("high")) for t in thresholds for name, low, high in AREAS])
-
-
-def _ignored(box: Column, cell: Column) -> Column:
-    return box["ignore"] | box["crowd"] | (box["size"] < cell["low"]) | (box["size"] > cell["high"])
-
-
-def cell_matches(edges: DataFrame, keys: list[str], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """(keys, threshold, area, gt_rank, det_rank) of all cells; the edges of a key meet once, and each cell folds over them.
-
-    edges has gt_rank, det_rank, iou and, of the annotated box, ignore, crowd and size.
-    """
-    kind = "struct<g:array<int>,p:array<int>,out:array<struct<g:int,p:int>>>"
-    start = F.struct(F.array().cast("array<int>").alias("g"), F.array().cast("array<int>").alias("p"), F.array().cast("array<struct<g:int,p:int>>").alias("out"))
-
-    def step(state: Column, e: Column) -> Column:
-        busy = F.array_contains(state["g"], e["g"]) | F.array_contains(state["p"], e["p"])
-        taken = F.struct(
-            F.when(e["crowd"], state["g"]).otherwise(F.array_append(state["g"], e["g"])).alias("g"),
-            F.array_append(state["p"], e["p"]).alias("p"),
-            F.array_append(state["out"], F.struct(e["g"].alias("g"), e["p"].alias("p"))).alias("out"),
-        )
-        return F.when(busy, state).otherwise(taken).cast(kind)
-
-    def of_cell(cell: Column) -> Column:
-        near = F.filter("_edges", lambda e: e["iou"] >= cell["threshold"])
-        # by rank of the detection; boxes that count before ignored ones, then the greater overlap, the later box of equals
-        order = F.transform(near, lambda e: F.struct(e["det_rank"].alias("p"), _ignored(e, cell).cast("int").alias("i"), (-e["iou"]).alias("k"), (-e["gt_rank"]).alias("r"), e["gt_rank"].alias("g"), e["crowd"].alias("crowd")))
-        return F.struct(cell["threshold"].alias("threshold"), cell["area"].alias("area"), F.aggregate(F.array_sort(order), start, step)["out"].alias("out"))
-
-    fields = [F.col(c).cast("int").alias(c) for c in ("det_rank", "gt_rank")] + [F.col(c) for c in ("iou", "ignore", "crowd", "size")]
-    lists = edges.groupBy(*keys).agg(F.collect_list(F.struct(*fields)).alias("_edges"))
-    return lists.select(*keys, F.inline(F.transform(_cells(thresholds), of_cell))).select(*keys, "threshold", "area", F.inline("out").alias("gt_rank", "det_rank"))
-
-
-def cell_flags(gt: DataFrame, dets: DataFrame, edges: DataFrame, keys: list[str], thresholds: tuple[float, ...] = THRESHOLDS) -> DataFrame:
-    """(keys, det_rank, score, threshold, area, hit, ignored) of every detection in every cell.
-
-    gt has gt_rank, gt_id, ignore, crowd and size; dets has det_rank, score and size.
-    """
-    matches = cell_matches(edges, keys, thresholds).join(gt.select(*keys, "gt_rank", "gt_id", "ignore", "crowd", F.col("size").alias("gt_size")), [*keys, "gt_rank"])
-    cells = dets.withColumn("_cell", F.explode(_cells(thresholds))).select(*keys, "det_rank", "score", "size", "_cell.*")
-    joined = cells.join(matches, [*keys, "det_rank", "threshold", "area"], "left")
-    taken = F.coalesce(F.col("gt_id") != 0, F.lit(False))
-    of_box = F.coalesce(F.col("ignore") | F.col("crowd") | (F.col("gt_size") < F.col("low")) | (F.col("gt_size") > F.col("high")), F.lit(False))
-    outside = ~taken & ((F.col("size") < F.col("low")) | (F.col("size") > F.col("high")))
-    return joined.select(*keys, "det_rank", "score", "threshold", "area", taken.alias("hit"), (of_box | outside).alias("ignored"))
-
-
-def positives_of(gt: DataFrame, cat: str = "cat") -> DataFrame:
-    """(cat, area, n): the boxes that count in each area range; ranges without any are absent, their scores undefined."""
-    areas = F.array(*[F.struct(F.lit(name).alias("area"), F.lit(low).alias("low"), F.lit(high).alias("high")) for name, low, high in AREAS])
-    rows = gt.filter("not ignore and not crowd").select(cat, "size", F.inline(areas))
-    return rows.filter("size >= low and size <= high").groupBy(cat, "area").agg(F.count("*").alias("n"))
-
-
-def cell_precisions(flags: DataFrame, positives: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, cat: str = "cat") -> DataFrame:
-    """(cat, threshold, area, ap): the mean precision over the recall levels; cells without positives are absent."""
-    wide = positives.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    curve = pr_curve(flags.filter("not ignored").select(cat, "threshold", "area", "score", F.struct("image_id", "det_rank").alias("ord"), "hit"), wide, [cat, "threshold", "area"])
-    return curve.groupBy(cat, "threshold", "area").agg(F.avg("precision").alias("ap"))
-
-
-def cell_recalls(flags: DataFrame, positives: DataFrame, thresholds: tuple[float, ...] = THRESHOLDS, most: tuple[int, ...] = MOST_DETECTIONS, cat: str = "cat") -> DataFrame:
-    """(cat, threshold, area, most, recall): the recall with so many detections of an image and category at most."""
-    hits = flags.filter("hit and not ignored").groupBy(cat, "threshold", "area").agg(*[F.count_if(F.col("det_rank") <= m).alias(f"_{m}") for m in most])
-    wide = positives.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).join(hits, [cat, "threshold", "area"], "left")
-    return wide.select(cat, "threshold", "area", F.inline(F.array(*[F.struct(F.lit(m).alias("most"), (F.coalesce(F.col(f"_{m}"), F.lit(0)) / F.col("n")).alias("recall")) for m in most])))
-
-
 def standard_table(precisions: DataFrame, recalls: DataFrame, groups: DataFrame | None = None, cat: str = "cat", most: int = 100) -> DataFrame:
     """(line, name, value): the twelve standard figures, means over the defined cells; with groups (cat, frequency) also AP by frequency."""
     p = precisions if groups is None else precisions.join(groups, cat)

@@ -4,33 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from gridloom.functions import geometry as G
 from gridloom.operators import cells, coco
 from gridloom.operators import matching as M
 from gridloom.operators.layout import cut
-from gridloom.plans.boxes import BOXES, IOU, PRED, PREDICTED, boxes, gt_boxes
+from gridloom.plans.boxes import BOXES, IOU, PRED, PREDICTED, gt_boxes
 
-KEYS = ["image_id", "cat"]
 SIZE = "(x2 - x1) * (y2 - y1)"
 
 
-def _sides(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(annotated boxes, detections, edges); the first box of all has id 0. Every fifth image lists the category A as not exhaustive."""
-    gt, pred = boxes(spark, folder)
-    gt = gt.selectExpr("image_id", "cat", "ord", "ignore", "crowd", "x1", "y1", "x2", "y2", f"{SIZE} as size", "(image_id - 1) * 100 + ord - 1 as gt_id").withColumn("gt_rank", F.row_number().over(W.partitionBy(*KEYS).orderBy("ord")))
-    dets = pred.selectExpr("image_id", "cat", "ord", "score", "x1", "y1", "x2", "y2", f"{SIZE} as size").withColumn("det_rank", F.row_number().over(W.partitionBy(*KEYS).orderBy(F.col("score").desc(), "ord"))).filter("det_rank <= 100")
-    on = [F.col(f"g.{k}") == F.col(f"p.{k}") for k in KEYS]
-    edges = gt.alias("g").join(dets.alias("p"), on).select("g.image_id", "g.cat", "gt_rank", "det_rank", "ignore", "crowd", "g.size", G.iou(M._box("g"), M._box("p")).alias("iou")).filter("iou >= 0.5")
-    return gt, dets, edges
-
-
-def _flags(spark, folder) -> tuple[DataFrame, DataFrame]:
-    gt, dets, edges = _sides(spark, folder)
-    return gt, coco.cell_flags(gt, dets, edges, KEYS)
-
-
 def _cell_rows(spark, folder, lvis: bool = False, curves: bool = True) -> DataFrame:
     """The sums and curves of all cells; a line gives its annotated box and its detection side by side, so lines are shuffled once."""
     flags = lambda crowd, ignore: (crowd.alias("crowd"), ignore.alias("ignore"))
@@ -43,9 +25,8 @@ def _cell_rows(spark, folder, lvis: bool = False, curves: bool = True) -> DataFr
 
 def a13_coco_cells(spark, folder):
     """Hits, misses and detections out of account by category, threshold and area range."""
-    _, flags = _flags(spark, folder)
-    hits = [F.count_if(F.expr(e)).alias(n) for n, e in (("tp", "hit and not ignored"), ("fp", "not hit and not ignored"), ("out", "ignored"))]
-    return flags.groupBy("cat", F.round("threshold", 2).alias("threshold"), "area").agg(*hits)
+    sums = cells.cell_counts(_cell_rows(spark, folder, curves=False)).filter(F.col("most") == max(coco.MOST_DETECTIONS)).filter("n > 0")
+    return sums.select("cat", F.round("threshold", 2).alias("threshold"), "area", F.col("hits").alias("tp"), F.expr("seen - hits").alias("fp"), F.expr("n - seen").alias("out"))
 
 
 _SQL = f"""WITH RECURSIVE {BOXES},
@@ -144,9 +125,8 @@ A16 = _SQL + LVIS + _ap("open") + " " + " UNION ALL ".join([_line(i, n, "ap", w,
 
 def j8_cell_grid(spark, folder):
     """How many detections each of the 120 cells of threshold, area and number of detections takes into account."""
-    _, flags = _flags(spark, folder)
-    most = F.inline(F.array(*[F.struct(F.lit(m).alias("most")) for m in coco.MOST_DETECTIONS]))
-    return flags.filter("not ignored").select("threshold", "area", "det_rank", most).filter("det_rank <= most").groupBy(F.round("threshold", 2).alias("threshold"), "area", "most").agg(F.count("*").alias("n"))
+    sums = cells.cell_counts(_cell_rows(spark, folder, curves=False))
+    return sums.groupBy(F.round("threshold", 2).alias("threshold"), "area", "most").agg(F.sum("seen").alias("n")).filter("n > 0")
 
 
 J8 = _SQL + " SELECT round(threshold, 2) AS threshold, area, most, count(*) AS n FROM flags JOIN (VALUES (1), (10), (100)) v(most) ON det_rank <= most WHERE NOT ignored GROUP BY ALL"

@@ -92,3 +92,9 @@ def test_no_row_by_detection_and_cell_is_kept(spark, monkeypatch, name):
     monkeypatch.setattr("gridloom.plans.detection.cut", lambda df: kept.append(cut(df)) or kept[-1])
     assert registry.queries()[name](spark, FOLDER).count()
     assert sum(df.count() for df in kept) < 1000  # some 5,000 detections in 40 cells each
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
+@pytest.mark.parametrize("name", ["j8_cell_grid", "a13_coco_cells"])
+def test_counts_join_no_rows_by_detection_and_cell(spark, name):
+    assert "Join" not in registry.queries()[name](spark, FOLDER)._jdf.queryExecution().toString()
